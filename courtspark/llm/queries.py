@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtspark.llm.components import component_groups
+from courtspark.llm.leaks import leaked_passages
 from courtspark.llm.nearest import nearest_in_time
 from courtspark.llm.survivor import best_fields, best_records
 from courtspark.llm.tokens import encode_corpus
@@ -70,3 +71,10 @@ def p8_ids(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/by
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p8_ids": p8_ids}
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+QUERIES["p9_found"] = p9_found
