@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from courtspark.llm.components import component_groups
 from courtspark.llm.leaks import leaked_passages
 from courtspark.llm.nearest import nearest_in_time
+from courtspark.llm.sentences import corpus_sentences
+from courtspark.llm.skill import ranking, skills
 from courtspark.llm.survivor import best_fields, best_records
 from courtspark.llm.tokens import encode_corpus
 from courtspark.sources.tables import both_players, clean, matches_latest, table
@@ -78,3 +80,42 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["p9_found"] = p9_found
+
+
+SURFACES = ["Hard", "Clay", "Grass", "IHard"]
+
+
+def _completed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = matches_latest(spark, sf_dir, ["tour", "surface", "match_status", "winner_player_id", "loser_player_id"])
+    raw = F.lower(clean(F.col("surface")))
+    surface = F.when(raw.isin("carpet", "i.hard", "ihard"), "IHard").when(raw.isin("hard", "clay", "grass"), F.initcap(raw))
+    return latest.where("match_status = 'completed'").withColumn("surface", surface).where("surface is not null")
+
+
+def _skills(completed: DataFrame) -> DataFrame:
+    return skills(completed, "winner_player_id", "loser_player_id", "tour", "surface", SURFACES)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    completed = _completed(spark, sf_dir)
+    anchors = table(spark, sf_dir, "tour_anchors").select(F.col("player_id").alias("item"), F.lit(True).alias("anchor")).distinct()
+    beliefs = _skills(completed).join(anchors, "item", "left")
+    bar = beliefs.where("anchor").groupBy("pool", "context").agg(F.max("mean").alias("bar"))
+    played = both_players(completed.where("winner_player_id is not null and loser_player_id is not null"), "match_id", "surface").groupBy("player_id", "surface").agg(F.count(F.lit(1)).alias("played")).where("played >= 15")
+    stronger = beliefs.where("anchor is null").join(bar, ["pool", "context"]).where("mean > bar").select(F.col("item").alias("player_id"), F.col("context").alias("surface"))
+    return played.join(stronger, ["player_id", "surface"]).select("player_id", "surface")
+
+
+def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = ranking(_skills(_completed(spark, sf_dir)))
+    return ranked.select(F.col("item").alias("player_id"), F.col("pool").alias("tour"), F.col("context").alias("surface"), "mean", F.sqrt("variance").alias("deviation"), "lower", "position")
+
+
+QUERIES |= {"p3_found": p3_found, "p3_ranking": p3_ranking}
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_sentences(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
+QUERIES["p10_found"] = p10_found
