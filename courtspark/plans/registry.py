@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from courtspark.plans import general
+from courtspark.plans import general, replay
 
-MODULES = [general]
+MODULES = [general, replay]
 
 
 def queries() -> dict:
