@@ -102,7 +102,7 @@ def number(column: Column) -> Column:
 
 def day8(column: Column) -> Column:
     """YYYYMMDD text to date, null where it isn't one."""
-    return F.try_to_date(column, F.lit("yyyyMMdd"))
+    return F.try_to_date(column, "yyyyMMdd")
 
 
 def odds(column: Column) -> Column:
@@ -158,7 +158,7 @@ def naive_utc(wall: Column, zone: str) -> Column:
 
 
 def lenient_day(text: Column) -> Column:
-    return F.try_to_date(F.substring(F.trim(text), 1, 10), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.substring(F.trim(text), 1, 10), "yyyy-MM-dd")
 
 
 def tour_of(key: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from courtspark.plans import general, replay
+from courtspark.plans import evaluation, general, relational, replay, scalars, writes
 
-MODULES = [general, replay]
+MODULES = [general, replay, relational, scalars, writes, evaluation]
 
 
 def queries() -> dict:
