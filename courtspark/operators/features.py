@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from courtspark.functions import normalize as N
 from courtspark.operators.asof import latest_before
 from courtspark.operators.elo import elo_replay
-from courtspark.operators.windows import calendar, last_n, running
+from courtspark.operators.windows import calendar, last_n, less_earlier, running
 from courtspark.session import cut
 
 SERVE = ["first_in", "first_won", "second_won", "svpt", "bp_saved", "bp_faced"]
@@ -69,6 +69,27 @@ def serve_return(players: DataFrame) -> DataFrame:
     )
 
 
+def player_state(players: DataFrame) -> DataFrame:
+    """form, serve_return and rest in two passes of running state, one by player and one by player and surface."""
+    cols = [*SERVE, "opp_bp_saved", "opp_bp_faced"]
+    base = players.select("match_id", "player_id", "surface", "tourney_date", *ORDER[:2], "won", F.lit(1).alias("one"), F.col("rich").cast("int").alias("rich"), *[F.when(F.col("rich"), F.col(c)).otherwise(0).alias(f"c_{c}") for c in cols])
+    since = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0), F.least(F.lit(CAP), F.date_diff("tourney_date", F.col(c)))))
+    count = {"k": ("sum", F.col("one")), "w": ("sum", F.col("won")), "last_day": ("max", F.col("tourney_date"))}
+    a = cut(running(base.select("match_id", "player_id", "tourney_date", *ORDER[:2], "won", "one"), ["player_id"], "tourney_date", by_order(), count))
+    a = less_earlier(a, ["player_id"], "k", "one", FORM, {"w10": ("w", "won")})
+    a = a.select("match_id", "player_id", F.when(F.col("k") >= FORM_LEAST, F.col("w10") / F.least(F.col("k"), F.lit(FORM))).alias("win_pct_last10"), F.col("k").cast("long").alias("prior_matches"), since("last_day").alias("days_since_last_match"))
+    b = cut(running(base, ["player_id", "surface"], "tourney_date", by_order(), {**count, "r": ("sum", F.col("rich")), **{f"s_{c}": ("sum", F.col(f"c_{c}")) for c in cols}}))
+    b = less_earlier(b, ["player_id", "surface"], "k", "one", FORM_SURFACE, {"w25": ("w", "won")})
+    b = less_earlier(b, ["player_id", "surface"], "r", "rich", SERVE_WINDOW, {c: (f"s_{c}", f"c_{c}") for c in cols})
+    share = lambda x, y: F.when((F.col("r") >= SERVE_LEAST) & (y > 0), F.try_divide(x, y))
+    b = b.select(
+        "match_id", "player_id", F.when(F.col("k") >= FORM_LEAST, F.col("w25") / F.least(F.col("k"), F.lit(FORM_SURFACE))).alias("win_pct_last25_surface"), since("last_day").alias("days_since_last_match_surface"),
+        share(F.col("first_won"), F.col("first_in")).alias("first_serve_win_pct"), share(F.col("second_won"), F.col("svpt") - F.col("first_in")).alias("second_serve_win_pct"),
+        share(F.col("bp_saved"), F.col("bp_faced")).alias("bp_saved_pct"), share(F.col("opp_bp_faced") - F.col("opp_bp_saved"), F.col("opp_bp_faced")).alias("bp_converted_pct"),
+    )
+    return a.join(b, ["match_id", "player_id"])
+
+
 def load(players: DataFrame) -> DataFrame:
     """Contests in the last 7 days and sets in the last 14, rows of the same day before this one included."""
     base = players.select("match_id", "player_id", "tourney_date", *ORDER[:2], "sets")
@@ -120,9 +141,10 @@ def feature_vectors(matches: DataFrame, rankings: DataFrame, roster: DataFrame,
     """
     rows = cut(contests(matches))
     players = cut(player_rows(rows))
-    sides = form(players)
-    for family in (serve_return(players), load(players), rest(players), ranks(players, rankings), traits(players, roster)):
+    sides = player_state(players)
+    for family in (load(players), ranks(players, rankings), traits(players, roster)):
         sides = sides.join(family, ["match_id", "player_id"])
+    sides = cut(sides)
     facts = [c for c in sides.columns if c not in ("match_id", "player_id")]
     base = rows.where("label_open").select("match_id", "tour", "tourney_date", "level", "best_of", "surface", "winner_player_id").join(head_to_head(rows), "match_id")
     one = lambda s: sides.select("match_id", F.col("player_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in facts])

@@ -42,17 +42,24 @@ def running(df: DataFrame, keys: Sequence[str], day: str, order: Sequence[Column
 def last_n(df: DataFrame, keys: Sequence[str], day: str, order: Sequence[Column], n: int, sums: Mapping[str, Column], member: Column | None = None, count: str = "n_last") -> DataFrame:
     """`df` with the sums over the last `n` member rows before this one, and how many there were (`count`).
 
-    Rows that are no member (`member` false or null) get their values but never enter a window. Prefix sums by
-    position, joined with those `n` members earlier: the join key holds the position, so no group is ever in one task.
+    Rows that are no member (`member` false or null) get their values but never enter a window.
     """
     inside = F.coalesce(member, F.lit(False)) if member is not None else F.lit(True)
-    parts = {c: F.when(inside, F.coalesce(v, F.lit(0))).otherwise(0) for c, v in sums.items()}
-    run = running(df.withColumns({f"_p_{c}": v for c, v in parts.items()}).withColumn("_in", inside.cast("int")), keys, day, order, {"_k": ("sum", F.col("_in")), **{f"_s_{c}": ("sum", F.col(f"_p_{c}")) for c in sums}})
-    marks = run.where("_in = 1").select(*keys, (F.col("_k") + 1).alias("_at"), *[(F.col(f"_s_{c}") + F.col(f"_p_{c}")).alias(f"_b_{c}") for c in sums])
-    run = run.withColumn("_at", F.col("_k") - n)
-    joined = run.join(marks, [*keys, "_at"], "left")
-    out = {c: F.col(f"_s_{c}") - F.coalesce(F.col(f"_b_{c}"), F.lit(0)) for c in sums}
-    return joined.withColumns({**out, count: F.least(F.col("_k"), F.lit(n)).cast("long")}).select(*df.columns, count, *sums)
+    own = df.withColumns({f"_p_{c}": F.when(inside, F.coalesce(v, F.lit(0))).otherwise(0) for c, v in sums.items()}).withColumn("_in", inside.cast("int"))
+    run = running(own, keys, day, order, {"_k": ("sum", F.col("_in")), **{f"_s_{c}": ("sum", F.col(f"_p_{c}")) for c in sums}})
+    run = less_earlier(run, keys, "_k", "_in", n, {c: (f"_s_{c}", f"_p_{c}") for c in sums})
+    return run.withColumn(count, F.least(F.col("_k"), F.lit(n)).cast("long")).select(*df.columns, count, *sums)
+
+
+def less_earlier(run: DataFrame, keys: Sequence[str], position: str, member: str, n: int, sums: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """`run` with the running sums over the last `n` members only: name -> (running sum, own value).
+
+    From each running sum the one `n` members earlier is taken off. The join key holds the position, so no group is
+    ever in one task.
+    """
+    marks = run.where(f"`{member}` = 1").select(*keys, (F.col(position) + 1 + n).alias("_at"), *[(F.col(s) + F.col(p)).alias(f"_b_{c}") for c, (s, p) in sums.items()])
+    joined = run.join(marks.withColumnRenamed("_at", position), [*keys, position], "left")
+    return joined.withColumns({c: F.col(s) - F.coalesce(F.col(f"_b_{c}"), F.lit(0)) for c, (s, _) in sums.items()}).drop(*[f"_b_{c}" for c in sums])
 
 
 def calendar(df: DataFrame, keys: Sequence[str], day: str, order: Sequence[Column], windows: Mapping[str, tuple[int, Column]], shard_days: int = SHARD_DAYS) -> DataFrame:
