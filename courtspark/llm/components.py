@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from courtspark.session import cut
 
 
-def component_groups(pairs: DataFrame, left: str, right: str, beta: float = 0.4, growth: int = 3, seed: int = 7) -> DataFrame:
+def component_groups(pairs: DataFrame, left: str, right: str, beta: float = 0.2, growth: int = 3, seed: int = 7) -> DataFrame:
     """(node, group): every id in a pair of two different ids, with the least id of all that it is linked to, directly or not.
 
     Pairs with a null, self pairs, repeats and either direction are allowed for; no pairs give no rows.

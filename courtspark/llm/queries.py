@@ -100,7 +100,7 @@ def _skills(completed: DataFrame) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    completed = _completed(spark, sf_dir)
+    completed = cut(_completed(spark, sf_dir))
     anchors = table(spark, sf_dir, "tour_anchors").select(F.col("player_id").alias("item"), F.lit(True).alias("anchor")).distinct()
     beliefs = _skills(completed).join(anchors, "item", "left")
     bar = beliefs.where("anchor").groupBy("pool", "context").agg(F.max("mean").alias("bar"))
