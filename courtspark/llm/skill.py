@@ -66,9 +66,9 @@ def _beliefs(edges: DataFrame, contexts: Sequence[str], spread: dict) -> DataFra
         here = F.col("context") == c
         sums += [F.sum(F.when(here, F.col("e.p")).otherwise(0.0)).alias(f"p{i}"), F.sum(F.when(here, F.col("e.t")).otherwise(0.0)).alias(f"t{i}")]
     items = ends.groupBy(F.col("e.item").alias("item"), "pool").agg(*sums)
-    # as rows, not literals: the generated code stays the same from round to round
-    table = edges.sparkSession.createDataFrame([(p, *v) for p, v in spread.items()], "pool string, general double, own double")
-    items = items.join(F.broadcast(table), "pool")
+    # as maps, which generated code holds by reference: it stays the same from round to round
+    spreads = [F.create_map(*[x for p, v in spread.items() for x in (F.lit(p), F.lit(v[k]))]) if spread else F.create_map(F.lit(""), F.lit(1.0)) for k in (0, 1)]
+    items = items.withColumn("general", spreads[0][F.col("pool")]).withColumn("own", spreads[1][F.col("pool")])
     up = [1 + F.col(f"p{i}") * F.col("own") for i in range(len(contexts))]
     items = items.withColumns({f"q{i}": F.col(f"p{i}") / up[i] for i in range(len(contexts))} | {f"r{i}": F.col(f"t{i}") / up[i] for i in range(len(contexts))})
     total_q = reduce(lambda a, b: a + b, [F.col(f"q{i}") for i in range(len(contexts))])
