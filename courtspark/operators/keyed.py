@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ def append_first_wins(target: DataFrame, incoming: DataFrame, keys: Sequence[str
 
     Rows with a null in a key never conflict, as with a SQL unique constraint.
     """
-    has_null = F.greatest(*[F.col(k).isNull().cast("int") for k in keys]) == 1
+    has_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     fresh = latest_by_key(incoming.where(~has_null), keys, order).join(target.select(*keys).distinct(), list(keys), "left_anti")
     return target.unionByName(fresh.select(*target.columns)).unionByName(incoming.where(has_null).select(*target.columns))
 
