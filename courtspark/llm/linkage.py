@@ -135,14 +135,17 @@ def name_candidates(names: DataFrame, roster: DataFrame, least: float = 0.5) ->
 
 
 def _squeezed_candidates(given: DataFrame, known: DataFrame) -> DataFrame:
-    """Names that are one edit or swap from a full or initialled form of an entry once spaces are gone: slips at a space hide the words."""
+    """Names that are one edit or swap from a full or initialled form of an entry once spaces are gone: slips at a space hide the words.
+
+    A name that holds the last names as they are differs in the first name, so it must be the form itself.
+    """
     joined = lambda ws: F.array_join(ws, "")
     first, initial = F.get("firsts", F.lit(0)), F.substring(F.get("firsts", F.lit(0)), 1, 1)
     forms = F.array(*[F.struct(F.concat(*parts).alias("form"), F.lit(fit).alias("worth")) for parts, fit in (((joined("firsts"), joined("lasts")), 1.0), ((joined("lasts"), joined("firsts")), 1.0), ((initial, joined("lasts")), 0.92), ((joined("lasts"), initial), 0.92))])
-    entries = known.where(first.isNotNull()).select("pool", "player_id", F.explode(forms).alias("f")).select("pool", "player_id", F.col("f.form").alias("form"), F.col("f.worth").alias("worth")).where("length(form) >= 6")
+    entries = known.where(first.isNotNull()).select("pool", "player_id", joined("lasts").alias("surname"), F.explode(forms).alias("f")).select("pool", "player_id", "surname", F.col("f.form").alias("form"), F.col("f.worth").alias("worth")).where("length(form) >= 6")
     asked = given.select("pool", "raw", joined("given").alias("squeezed")).where("length(squeezed) >= 6")
     met = asked.withColumn("key", F.explode(_deletions(F.col("squeezed")))).join(entries.withColumn("key", F.explode(_deletions(F.col("form")))), ["pool", "key"])
-    met = met.select("pool", "raw", "player_id", "squeezed", "form", "worth").distinct().where("levenshtein(squeezed, form) <= 2")
+    met = met.select("pool", "raw", "player_id", "squeezed", "form", "surname", "worth").distinct().where("squeezed = form or (levenshtein(squeezed, form) <= 2 and not contains(squeezed, surname))")
     return met.select("pool", "raw", "player_id", (F.col("worth") * (1.0 - F.levenshtein("squeezed", "form") / F.length("form")) * 0.97).alias("fit"))
 
 
