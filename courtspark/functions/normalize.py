@@ -177,3 +177,8 @@ def is_noon(moment: Column) -> Column:
 def url_key(url: Column) -> Column:
     host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
     return F.concat(host, F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), r"/+$", ""))
+
+
+def round_rank(label: Column) -> Column:
+    """Order of a round's label, qualifying below zero; null (never 0) where the label is unknown."""
+    return lookup(label, ROUND_RANK)
