@@ -173,7 +173,7 @@ def test_spans_cover_all_but_space(text):
     assert all(i in inside or c.isspace() for i, c in enumerate(text))
 
 
-def test_learns_from_a_corpus(spark):
+def test_learns_from_a_corpus(spark, monkeypatch):
     rng = random.Random(6)
     line = lambda: rng.choice(["Mr. {0} won the match.", "The match ended at 3 p.m.", "We saw Mr. {0} and he won.", "{0} beat them all.", "Play began at 5 p.m. and went on."]).format(rng.choice(["Low", "Kim", "Roe", "Han", "Wu"]))
     texts = ["\n\n".join(" ".join(line() for _ in range(4)) for _ in range(3)) for _ in range(120)]
@@ -186,6 +186,10 @@ def test_learns_from_a_corpus(spark):
     want = [s for p in texts[0].split("\n\n") for s in regex.split(r"(?<=(?<!Mr)\.) (?=[A-Z])", p)]
     assert [texts[0][a:b] for a, b in sorted(got[0])] == want and sorted(got[903]) == sorted(got[0])
     assert not {900, 901, 902} & set(got)
+    small = docs.unionByName(spark.createDataFrame([(905, "В 2012 г. он ушёл. Нет! " * 30, "ru")], docs.schema))
+    whole = {tuple(r) for r in S.corpus_sentences(small, "doc_id", "text", "lang").collect()}
+    monkeypatch.setattr(S, "MODEL_ENTRIES", 1)
+    assert {tuple(r) for r in S.corpus_sentences(small, "doc_id", "text", "lang").collect()} == whole and any(r[0] == 905 for r in whole)
     assert S.corpus_sentences(docs.limit(0), "doc_id", "text", "lang").count() == 0
 
 
