@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -33,6 +33,7 @@ _PLAIN_WORDS = regex.compile(r"[\p{L}\p{M}]++(?:['’.-][\p{L}\p{M}]++)*+(?!\.)"
 _INITIALS = regex.compile(r"\p{L}(?:\.\p{L})+")
 _SCRIPTS = (("th", regex.compile(r"\p{Thai}")), ("hi", regex.compile(r"\p{Devanagari}")), ("ar", regex.compile(r"\p{Arabic}")), ("ru", regex.compile(r"\p{Cyrillic}")), ("ja", regex.compile(r"[\p{Hiragana}\p{Katakana}]")), ("zh", regex.compile(r"\p{Han}")))
 _LATIN = regex.compile(r"\p{Latin}")
+_LATIN_WORD = regex.compile(r"\p{Latin}+")
 _NO_CASE, _NO_SPACE = {"th", "hi", "ar", "ja", "zh"}, {"ja", "zh"}
 
 #: Thresholds on log-likelihood ratios (7.88: one in 200 by chance), as in unsupervised period disambiguation.
@@ -243,7 +244,7 @@ def count(text: str, lang: str, into: Counter) -> None:
         for k, s in enumerate(here):
             if s.kind == "period":
                 into[lang, "dot", s.type, s.follows] += 1
-                if s.follows == "start" and s.next and (len(s.type) <= 5 or s.type[0] == "#"):
+                if s.follows == "start" and s.next:
                     into[lang, "pair", s.type, s.next] += 1
                 if s.follows == "start" and s.next:
                     into[lang, "next", s.next, ""] += 1
@@ -313,22 +314,46 @@ def sentence_spans(text: str | None, code: str, model: Model) -> list[tuple[int,
     return spans
 
 
-def learn(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """The evidence of the whole corpus, summed per language: (lang, kind, a, b, n). Tasks count before anything is shuffled."""
+def _counted(docs: DataFrame, add: Callable[[str, str | None, Counter], None]) -> DataFrame:
+    """(lang, kind, a, b, n) summed over (text, lang) rows; `add` counts one text. Tasks count before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
             for t, declared_as in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                if t and (code := script_language(t) or declared(declared_as)):
-                    count(t, code, seen)
+                if t:
+                    add(t, declared_as, seen)
             cols = list(zip(*seen, strict=True)) if seen else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([*[pa.array(list(c), pa.string()) for c in cols], pa.array(list(seen.values()), pa.int64())], ["lang", "kind", "a", "b", "n"])
 
-    counted = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null").mapInArrow(run, "lang string, kind string, a string, b string, n long")
+    counted = docs.mapInArrow(run, "lang string, kind string, a string, b string, n long")
     return counted.groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
+def learn(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """The evidence of the whole corpus, summed per language: (lang, kind, a, b, n).
+
+    A first pass counts the Latin words of texts whose script or label names a language (kind 'label'), by which
+    languages are told. The second counts every text under the language it will be cut by; what nothing tells is
+    counted together under ''.
+    """
+
+    def labels(t: str, declared_as: str | None, into: Counter) -> None:
+        if (code := script_language(t) or declared(declared_as)) and code not in _NO_SPACE:
+            for word, n in Counter(_PLAIN_WORDS.findall(t.lower())).items():
+                if _LATIN_WORD.fullmatch(word := unicodedata.normalize("NFC", word)):
+                    into[code, "label", word, ""] += n
+
+    source = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null")
+    labelled = cut(_counted(source, labels))
+    sent = docs.sparkSession.sparkContext.broadcast(model_of([tuple(r) for r in telling(labelled).collect()]))
+
+    def evidence(t: str, declared_as: str | None, into: Counter) -> None:
+        count(t, language(t, declared_as, sent.value), into)
+
+    return labelled.unionByName(_counted(source, evidence))
+
+
 def _ln(x: Column) -> Column:
     return F.log(F.greatest(x, F.lit(1e-12)))
 
@@ -384,13 +409,19 @@ def findings(evidence: DataFrame) -> DataFrame:
     reports = (F.col("quote") >= 5) & (F.try_divide(F.col("quote"), seen) > 0.85) & (F.try_divide(F.col("quote"), F.col("q")) > 0.02) & (_ratio(F.col("quote").cast("double"), seen.cast("double"), rate) > REPORTING)
     out = out.unionByName(edges.where(reports).select("lang", F.lit("reporting").alias("what"), "a", none.alias("b"), F.lit(0.0).alias("weight")))
 
-    latin = words.where(F.col("a").rlike(r"^\p{IsLatin}+$"))
+    return out.unionByName(telling(evidence))
+
+
+def telling(evidence: DataFrame) -> DataFrame:
+    """The model's entries (lang, what, a, b, weight) by which the language of a Latin text is told."""
+    none = F.lit("")
+    latin = evidence.where("kind = 'label'").groupBy("lang", "a").agg(F.sum("n").alias("plain"))
     size = latin.groupBy("lang").agg(F.sum("plain").alias("size"))
     top = Window.partitionBy("lang").orderBy(F.col("plain").desc(), "a")
-    telling = latin.withColumn("k", F.row_number().over(top)).where(F.col("k") <= TELLING_WORDS).select("a").distinct()
-    told = latin.join(telling, "a").join(size.where("size >= 200"), "lang").select("lang", F.lit("word").alias("what"), "a", none.alias("b"), F.log(F.col("plain") / F.col("size")).alias("weight"))
+    frequent = latin.withColumn("k", F.row_number().over(top)).where(F.col("k") <= TELLING_WORDS).select("a").distinct()
+    told = latin.join(frequent, "a").join(size.where("size >= 200"), "lang").select("lang", F.lit("word").alias("what"), "a", none.alias("b"), F.log(F.col("plain") / F.col("size")).alias("weight"))
     floor = size.where("size >= 200").select("lang", F.lit("unseen").alias("what"), none.alias("a"), none.alias("b"), F.log(0.05 / F.col("size")).alias("weight"))
-    return out.unionByName(told).unionByName(floor)
+    return told.unionByName(floor)
 
 
 def model_of(rows: list) -> Model:
@@ -412,8 +443,8 @@ def model_of(rows: list) -> Model:
 def corpus_sentences(docs: DataFrame, key: str, text: str, lang: str, evidence: DataFrame | None = None) -> DataFrame:
     """(key, start_pos, end_pos): every sentence of every text as a span of code points, without white space at its ends.
 
-    One pass counts the evidence (pre-aggregated per task), DataFrame operations choose the model's entries, a second
-    pass cuts the texts where they lie; documents are never shuffled. Null, empty and blank texts have no rows, repeated
+    One pass counts the words of labelled texts, one the evidence (both pre-aggregated per task), DataFrame operations
+    choose the model's entries, a last pass cuts the texts where they lie; documents are never shuffled. Null, empty and blank texts have no rows, repeated
     rows repeat theirs, a null or wrong language costs only accuracy. The model is sent out whole after a check of its
     size: it holds entries that pass a significance test, not the vocabulary. A larger one goes out in groups of
     languages of at most MODEL_ENTRIES entries, with one pass over the corpus each.

@@ -193,6 +193,24 @@ def test_learns_from_a_corpus(spark, monkeypatch):
     assert S.corpus_sentences(docs.limit(0), "doc_id", "text", "lang").count() == 0
 
 
+def test_learns_from_every_text(spark):
+    """Texts without a usable label count, under the language their words tell or together; collocations know no length."""
+    english = ["Mr. Low won the match and he was in the final. We saw Mr. Kim and he won it. They played on."] * 40
+    french = ["Le joueur est dans la finale et il a une balle. Il est dans le match."] * 40
+    unlabelled = ["We saw Messrs. Low in the match and he won it. Then Messrs. Kim and Roe were in the final and they won it."] * 40
+    rows = [(t, "en") for t in english] + [(t, "fr") for t in french] + [(t, k) for t, k in zip(unlabelled, [None, "und", "fr", ""] * 10, strict=True)]
+    n = lambda e: {(r["lang"], r["kind"], r["a"], r["b"]): r["n"] for r in e.collect()}
+    got = n(S.learn(spark.createDataFrame(rows, "text string, lang string"), "text", "lang"))
+    assert got["en", "dot", "messrs", "start"] == 80 and ("fr", "dot", "messrs", "start") not in got and got["en", "dot", "mr", "start"] == 80
+    assert got["en", "pair", "messrs", "low"] == 40 and got["en", "pair", "messrs", "kim"] == 40
+    rng = random.Random(6)
+    line = lambda: rng.choice(["Mr. {0} won the match.", "The match ended at 3 p.m.", "We saw Mr. {0} and he won.", "{0} beat them all.", "Play began at 5 p.m. and went on."]).format(rng.choice(["Low", "Kim", "Roe", "Han", "Wu"]))
+    texts = ["\n\n".join(" ".join(line() for _ in range(4)) for _ in range(3)) for _ in range(120)] + ["Mr. Kim won the match. He won."]
+    bare = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    spans = S.corpus_sentences(bare, "doc_id", "text", "lang").where("doc_id = 120").orderBy("start_pos").collect()
+    assert [texts[120][r["start_pos"] : r["end_pos"]] for r in spans] == ["Mr. Kim won the match.", "He won."]
+
+
 def test_blank_line_forms():
     text = "a\r\nb\r\n\r\nc   d\n\t\ne"
     assert [text[a:b].split() for a, b, _ in S.blocks(text)] == [["a", "b"], ["c"], ["d"], ["e"]]
