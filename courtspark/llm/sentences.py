@@ -31,8 +31,8 @@ _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _WORDS = regex.compile(r"[\p{L}\p{M}]+(?:['’.-][\p{L}\p{M}]+)*")
 _PLAIN_WORDS = regex.compile(r"[\p{L}\p{M}]++(?:['’.-][\p{L}\p{M}]++)*+(?!\.)")
 _INITIALS = regex.compile(r"\p{L}(?:\.\p{L})+")
-_SCRIPTS = (("th", regex.compile(r"\p{Thai}")), ("hi", regex.compile(r"\p{Devanagari}")), ("ar", regex.compile(r"\p{Arabic}")), ("ru", regex.compile(r"\p{Cyrillic}")), ("ja", regex.compile(r"[\p{Hiragana}\p{Katakana}]")), ("zh", regex.compile(r"\p{Han}")))
-_LATIN = regex.compile(r"\p{Latin}")
+_SCRIPTS = (("th", r"\p{Thai}"), ("hi", r"\p{Devanagari}"), ("ar", r"\p{Arabic}"), ("ru", r"\p{Cyrillic}"), ("ja", r"[\p{Hiragana}\p{Katakana}]"), ("zh", r"\p{Han}"))
+_ANY_SCRIPT = regex.compile("|".join(f"(?P<{name}>{p}++)" for name, p in (("latin", r"\p{Latin}"), *_SCRIPTS)))
 _LATIN_WORD = regex.compile(r"\p{Latin}+")
 _NO_CASE, _NO_SPACE = {"th", "hi", "ar", "ja", "zh"}, {"ja", "zh"}
 
@@ -63,14 +63,16 @@ def declared(lang: str | None) -> str:
 
 def script_language(text: str) -> str:
     """Language told by script; '' for Latin or none."""
-    sample = text if len(text) < 4000 else text[:2000] + text[-2000:]  # only to tell the script
-    if sample.isascii():
+    if text.isascii():
         return ""
-    counts = {name: len(p.findall(sample)) for name, p in _SCRIPTS}
+    counts = dict.fromkeys([name for name, _ in _SCRIPTS], 0) | {"latin": 0}
+    for m in _ANY_SCRIPT.finditer(text):
+        counts[m.lastgroup] += m.end() - m.start()
+    latin = counts.pop("latin")
     if counts["ja"] and counts["ja"] * 8 >= counts["zh"]:
         counts["ja"] += counts["zh"]
     best = max(counts, key=counts.__getitem__)
-    return best if counts[best] * 2 > len(_LATIN.findall(sample)) else ""
+    return best if counts[best] * 2 > latin else ""
 
 
 def language(text: str, lang: str | None, model: Model) -> str:

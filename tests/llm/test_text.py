@@ -211,6 +211,14 @@ def test_learns_from_every_text(spark):
     assert [texts[120][r["start_pos"] : r["end_pos"]] for r in spans] == ["Mr. Kim won the match.", "He won."]
 
 
+@pytest.mark.parametrize(("lang", "body"), [("th", "ผลคือทำแฟนรอ "), ("zh", "到达……随后来了。"), ("ja", "「苦。でも。」とマトは語った。"), ("hi", "रोशि ने कहा। "), ("ar", "قال روكو إن. "), ("ru", "Он ушёл. ")])
+def test_script_is_told_by_the_whole_text(lang, body):
+    edge = "The match went on and on. " * 100
+    for size in (800, 3000):
+        assert S.script_language(edge + body * size + edge) == lang
+    assert S.script_language(edge * 9 + body + edge) == "" == S.script_language(edge)
+
+
 def test_blank_line_forms():
     text = "a\r\nb\r\n\r\nc   d\n\t\ne"
     assert [text[a:b].split() for a, b, _ in S.blocks(text)] == [["a", "b"], ["c"], ["d"], ["e"]]
