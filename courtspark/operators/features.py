@@ -69,20 +69,31 @@ def serve_return(players: DataFrame) -> DataFrame:
     )
 
 
+def _fold(rows: DataFrame) -> tuple[list[str], Column, list[Column]]:
+    """(mark, whether a row changes state, order within a day): rows with `ask` = 1 change none and come before their day's contests."""
+    return (["ask"], F.col("ask") == 0, [F.col("ask").desc(), *by_order()]) if "ask" in rows.columns else ([], F.lit(True), by_order())
+
+
+def _answers(rows: DataFrame) -> DataFrame:
+    """The asked rows where some are marked, else all."""
+    return rows.where("ask = 1") if "ask" in rows.columns else rows
+
+
 def player_state(players: DataFrame) -> DataFrame:
     """form, serve_return and rest in two passes of running state, one by player and one by player and surface."""
+    mark, counts, order = _fold(players)
     cols = [*SERVE, "opp_bp_saved", "opp_bp_faced"]
-    base = players.select("match_id", "player_id", "surface", "tourney_date", *ORDER[:2], "won", F.lit(1).alias("one"), F.col("rich").cast("int").alias("rich"), *[F.when(F.col("rich"), F.col(c)).otherwise(0).alias(f"c_{c}") for c in cols])
+    base = players.select("match_id", "player_id", "surface", "tourney_date", *ORDER[:2], *mark, "won", counts.cast("int").alias("one"), F.col("rich").cast("int").alias("rich"), *[F.when(F.col("rich"), F.col(c)).otherwise(0).alias(f"c_{c}") for c in cols])
     since = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0), F.least(F.lit(CAP), F.date_diff("tourney_date", F.col(c)))))
-    count = {"k": ("sum", F.col("one")), "w": ("sum", F.col("won")), "last_day": ("max", F.col("tourney_date"))}
-    a = cut(running(base.select("match_id", "player_id", "tourney_date", *ORDER[:2], "won", "one"), ["player_id"], "tourney_date", by_order(), count))
+    count = {"k": ("sum", F.col("one")), "w": ("sum", F.col("won")), "last_day": ("max", F.when(F.col("one") == 1, F.col("tourney_date")))}
+    a = cut(running(base.select("match_id", "player_id", "tourney_date", *ORDER[:2], *mark, "won", "one"), ["player_id"], "tourney_date", order, count))
     a = less_earlier(a, ["player_id"], "k", "one", FORM, {"w10": ("w", "won")})
-    a = a.select("match_id", "player_id", F.when(F.col("k") >= FORM_LEAST, F.col("w10") / F.least(F.col("k"), F.lit(FORM))).alias("win_pct_last10"), F.col("k").cast("long").alias("prior_matches"), since("last_day").alias("days_since_last_match"))
-    b = cut(running(base, ["player_id", "surface"], "tourney_date", by_order(), {**count, "r": ("sum", F.col("rich")), **{f"s_{c}": ("sum", F.col(f"c_{c}")) for c in cols}}))
+    a = _answers(a).select("match_id", "player_id", F.when(F.col("k") >= FORM_LEAST, F.col("w10") / F.least(F.col("k"), F.lit(FORM))).alias("win_pct_last10"), F.col("k").cast("long").alias("prior_matches"), since("last_day").alias("days_since_last_match"))
+    b = cut(running(base, ["player_id", "surface"], "tourney_date", order, {**count, "r": ("sum", F.col("rich")), **{f"s_{c}": ("sum", F.col(f"c_{c}")) for c in cols}}))
     b = less_earlier(b, ["player_id", "surface"], "k", "one", FORM_SURFACE, {"w25": ("w", "won")})
     b = less_earlier(b, ["player_id", "surface"], "r", "rich", SERVE_WINDOW, {c: (f"s_{c}", f"c_{c}") for c in cols})
     share = lambda x, y: F.when((F.col("r") >= SERVE_LEAST) & (y > 0), F.try_divide(x, y))
-    b = b.select(
+    b = _answers(b).select(
         "match_id", "player_id", F.when(F.col("k") >= FORM_LEAST, F.col("w25") / F.least(F.col("k"), F.lit(FORM_SURFACE))).alias("win_pct_last25_surface"), since("last_day").alias("days_since_last_match_surface"),
         share(F.col("first_won"), F.col("first_in")).alias("first_serve_win_pct"), share(F.col("second_won"), F.col("svpt") - F.col("first_in")).alias("second_serve_win_pct"),
         share(F.col("bp_saved"), F.col("bp_faced")).alias("bp_saved_pct"), share(F.col("opp_bp_faced") - F.col("opp_bp_saved"), F.col("opp_bp_faced")).alias("bp_converted_pct"),
@@ -92,9 +103,10 @@ def player_state(players: DataFrame) -> DataFrame:
 
 def load(players: DataFrame) -> DataFrame:
     """Contests in the last 7 days and sets in the last 14, rows of the same day before this one included."""
-    base = players.select("match_id", "player_id", "tourney_date", *ORDER[:2], "sets")
-    out = calendar(base, ["player_id"], "tourney_date", by_order(), {"fatigue_matches_7d": (7, F.lit(1)), "fatigue_sets_14d": (14, F.col("sets"))})
-    return out.select("match_id", "player_id", F.col("fatigue_matches_7d").cast("long").alias("fatigue_matches_7d"), F.col("fatigue_sets_14d").cast("long").alias("fatigue_sets_14d"))
+    mark, counts, order = _fold(players)
+    base = players.select("match_id", "player_id", "tourney_date", *ORDER[:2], *mark, "sets")
+    out = calendar(base, ["player_id"], "tourney_date", order, {"fatigue_matches_7d": (7, counts.cast("int")), "fatigue_sets_14d": (14, F.col("sets"))})
+    return _answers(out).select("match_id", "player_id", F.col("fatigue_matches_7d").cast("long").alias("fatigue_matches_7d"), F.col("fatigue_sets_14d").cast("long").alias("fatigue_sets_14d"))
 
 
 def rest(players: DataFrame) -> DataFrame:
@@ -108,9 +120,10 @@ def rest(players: DataFrame) -> DataFrame:
 
 def head_to_head(rows: DataFrame) -> DataFrame:
     """Per contest, before it: wins of the smaller id p1, of p2, and days since they last met."""
-    base = rows.select("match_id", "tourney_date", *ORDER[:2], F.least("winner_player_id", "loser_player_id").alias("p1"), F.greatest("winner_player_id", "loser_player_id").alias("p2"), (F.col("winner_player_id") <= F.col("loser_player_id")).cast("int").alias("p1_won"))
-    out = running(base, ["p1", "p2"], "tourney_date", by_order(), {"h2h_p1_wins": ("sum", F.col("p1_won")), "h2h_p2_wins": ("sum", 1 - F.col("p1_won")), "met": ("max", F.col("tourney_date"))})
-    return out.select("match_id", "p1", "p2", F.col("h2h_p1_wins").cast("long").alias("h2h_p1_wins"), F.col("h2h_p2_wins").cast("long").alias("h2h_p2_wins"), F.date_diff("tourney_date", "met").alias("h2h_recency_days"))
+    mark, counts, order = _fold(rows)
+    base = rows.select("match_id", "tourney_date", *ORDER[:2], *mark, counts.alias("counts"), F.least("winner_player_id", "loser_player_id").alias("p1"), F.greatest("winner_player_id", "loser_player_id").alias("p2"), (F.col("winner_player_id") <= F.col("loser_player_id")).cast("int").alias("p1_won"))
+    out = running(base, ["p1", "p2"], "tourney_date", order, {"h2h_p1_wins": ("sum", F.when(F.col("counts"), F.col("p1_won")).otherwise(0)), "h2h_p2_wins": ("sum", F.when(F.col("counts"), 1 - F.col("p1_won")).otherwise(0)), "met": ("max", F.when(F.col("counts"), F.col("tourney_date")))})
+    return _answers(out).select("match_id", "p1", "p2", F.col("h2h_p1_wins").cast("long").alias("h2h_p1_wins"), F.col("h2h_p2_wins").cast("long").alias("h2h_p2_wins"), F.date_diff("tourney_date", "met").alias("h2h_recency_days"))
 
 
 def ranks(players: DataFrame, rankings: DataFrame) -> DataFrame:
@@ -161,28 +174,28 @@ def feature_vectors(matches: DataFrame, rankings: DataFrame, roster: DataFrame,
 def features_as_of(matches: DataFrame, rankings: DataFrame, roster: DataFrame, asked: DataFrame) -> DataFrame:
     """Vectors of contests yet to be played: asked has match_id, tour, surface, tourney_date, level, best_of, p1, p2 (p1 < p2).
 
-    Only contests strictly before the asked day count, whoever played them, so ratings come from the full history. Asked
-    rows are laid behind their day's start as rows that change no state: each is folded with the contests before it.
+    The same 41 features as feature_vectors, and the ratings as elo_p1 and elo_p2 too. Only contests strictly before the
+    asked day count, whoever played them, so ratings come from the full history. Asked rows are laid before their day's
+    contests as rows that change no state: each is folded with the contests before it.
     """
     rows = contests(matches)
-    cols = ["match_id", "tour", "surface", "tourney_date", "tourney_id", "match_num", "level", "best_of", "sets", "winner_player_id", "loser_player_id", *[f"{s}_{c}" for s in "wl" for c in SERVE]]
     asked_ids = asked.select("match_id", "p1", "p2", "tour", "surface", "tourney_date", "level", "best_of")
     both = asked_ids.select("*", F.explode(F.array("p1", "p2")).alias("player_id"))
-    history = cut(player_rows(rows.select(*cols)))
-    state = history.select("player_id", "match_id", "surface", "tourney_date", "tourney_id", "match_num", "won", "sets", "rich").withColumn("ask", F.lit(0))
-    asks = both.select("player_id", "match_id", "surface", "tourney_date", F.lit(None).cast("string").alias("tourney_id"), F.lit(None).cast("int").alias("match_num"), F.lit(0).alias("won"), F.lit(0).alias("sets"), F.lit(False).alias("rich"), F.lit(1).alias("ask"))
-    # an asked row must not see its own day: it is dated to the day's start by sorting before every contest of the day
-    laid = state.unionByName(asks).withColumn("counts", F.col("ask") == 0)
-    order = [F.col("ask").desc(), *by_order()]
-    rate = lambda wins, n: F.when(F.col(n) >= FORM_LEAST, F.col(wins) / F.col(n))
-    ten = last_n(laid, ["player_id"], "tourney_date", order, FORM, {"w": F.col("won")}, member=F.col("counts"), count="n").where("ask = 1").select("match_id", "player_id", rate("w", "n").alias("win_pct_last10"))
-    here = last_n(laid, ["player_id", "surface"], "tourney_date", order, FORM_SURFACE, {"w": F.col("won")}, member=F.col("counts"), count="n").where("ask = 1").select("match_id", "player_id", rate("w", "n").alias("win_pct_last25_surface"))
-    last = running(laid, ["player_id"], "tourney_date", order, {"d": ("max", F.when(F.col("counts"), F.col("tourney_date")))}).where("ask = 1").select("match_id", "player_id", F.when(F.col("d").isNotNull(), F.least(F.lit(CAP), F.date_diff("tourney_date", "d"))).alias("days_since_last_match"))
-    sides = ten.join(here, ["match_id", "player_id"]).join(last, ["match_id", "player_id"]).join(ranks(both, rankings), ["match_id", "player_id"]).join(traits(both, roster), ["match_id", "player_id"])
-    sides = sides.join(ratings_as_of(rows, both), ["match_id", "player_id"])
+    history = cut(player_rows(rows)).withColumn("ask", F.lit(0))
+    neutral = {"won": F.lit(0), "sets": F.lit(0), "rich": F.lit(False), "ask": F.lit(1)}
+    given = ("match_id", "player_id", "surface", "tourney_date")
+    laid = cut(history.unionByName(both.select(*given, *[v.alias(c) for c, v in neutral.items()]), allowMissingColumns=True))
+    sides = player_state(laid).drop("prior_matches")
+    for family in (load(laid), ranks(both, rankings), traits(both, roster), ratings_as_of(rows, both)):
+        sides = sides.join(family, ["match_id", "player_id"])
+    sides = cut(sides)
+    meetings = rows.select("match_id", "tourney_date", *ORDER[:2], "winner_player_id", "loser_player_id").withColumn("ask", F.lit(0))
+    meetings = meetings.unionByName(asked_ids.select("match_id", "tourney_date", F.col("p1").alias("winner_player_id"), F.col("p2").alias("loser_player_id"), F.lit(1).alias("ask")), allowMissingColumns=True)
     facts = [c for c in sides.columns if c not in ("match_id", "player_id")]
     one = lambda s: sides.select("match_id", F.col("player_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in facts])
-    return asked_ids.join(one("p1"), ["match_id", "p1"]).join(one("p2"), ["match_id", "p2"])
+    out = asked_ids.join(one("p1"), ["match_id", "p1"]).join(one("p2"), ["match_id", "p2"]).join(head_to_head(meetings), ["match_id", "p1", "p2"])
+    out = out.withColumns({f"{c}_diff{u}": F.col(f"{c}_p1") - F.col(f"{c}_p2") for c, u in (("rank", ""), ("height", "_cm"), ("elo", "_surface"))})
+    return out.withColumns({"elo_p1_surface": F.col("elo_p1"), "elo_p2_surface": F.col("elo_p2")})
 
 
 def ratings_as_of(rows: DataFrame, asked: DataFrame) -> DataFrame:

@@ -77,6 +77,23 @@ def test_rating_as_of_equals_replay_with_active_opponents(world):
             assert got[k][f"{f}_p1"] == replay[k][f"{f}_p1"]
 
 
+def test_as_of_vectors_equal_replay(world):
+    """All 41 features of a day's first contest equal the replay's, whatever is played later that day or after."""
+    _, spark, rankings, roster = world
+    m = spark.createDataFrame([tuple(r) for r in make()], SCHEMA)
+    ids = "least(winner_player_id, loser_player_id) as p1", "greatest(winner_player_id, loser_player_id) as p2"
+    asked = X.contests(m).where("match_num = 0").selectExpr("match_id", "tour", "surface", "tourney_date", "level", "best_of", *ids)
+    got = {r["match_id"]: r.asDict() for r in X.features_as_of(m, rankings, roster, asked).collect()}
+    replay = {r["match_id"]: r.asDict() for r in X.feature_vectors(m, rankings, roster).collect()}
+    same = [k for k in got if k in replay]
+    assert len(same) > 10 and len(got) == asked.count()
+    for k in same:
+        columns = set(replay[k]) - {"label"}
+        assert columns - set(got[k]) == set() and len(columns - {"match_id", "tour", "tourney_date", "p1", "p2"}) == 41
+        for c in columns:
+            assert got[k][c] == (pytest.approx(replay[k][c], abs=1e-9) if isinstance(replay[k][c], float) else replay[k][c]), (k, c)
+
+
 def test_reliability_edges(spark):
     df = spark.createDataFrame([(p / 10, 1) for p in range(11)], "p double, y int")
     got = {r["bin"]: r["n"] for r in E.reliability(df, "y", "p").collect()}
