@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from courtspark.functions import normalize as N
@@ -197,3 +199,25 @@ def _(s, d):
     root = files.scratch(s)
     jobs.drain(counts, files.scratch(s), lambda batch, _: batch.write.mode("overwrite").parquet(root), mode="complete")
     return s.read.parquet(root).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("ref_stream_sessions", "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hours then 0 else 1 end as fresh from events), n as (select user_id, ts, sum(fresh) over (partition by user_id order by ts) as k from g) select min(ts) as session_start, max(ts) + interval 6 hours as session_end, user_id, count(*) as n from n group by user_id, k")
+def _(s, d):
+    found = jobs.sessions(_stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", late="60 days")
+    root = files.scratch(s)
+    jobs.drain(found, files.scratch(s), lambda batch, _: batch.write.mode("overwrite").parquet(root), mode="complete")
+    return s.read.parquet(root).select(F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "user_id", "n")
+
+
+@query("ref_stream_ratings", f"{ELO_STEPS} select match_id, round(wb, 6) as winner_before, round(lb, 6) as loser_before from e where k > 0")
+def _(s, d):
+    rows = _contests(s, d)
+    keyed = rows.select(F.concat_ws("|", "tour", "surface").alias("ladder"), F.col("tourney_date").alias("day"), F.struct(F.coalesce("tourney_id", F.lit("")).alias("a"), F.coalesce("match_num", F.lit(-1)).alias("b"), F.col("match_id").alias("c")).alias("key"), F.col("winner_player_id").alias("winner"), F.col("loser_player_id").alias("loser"))
+    at, span = files.scratch(s), keyed.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
+    third = (span["hi"] - span["lo"]) / 3 if span["lo"] else dt.timedelta(0)
+    ends = [None, *[span["lo"] + third * k for k in (1, 2)], None] if span["lo"] else [None, None]
+    for lo, hi in zip(ends, ends[1:], strict=False):  # in order of arrival, one a micro-batch
+        part = keyed.where(F.col("day") > F.lit(lo)) if lo else keyed
+        (part.where(F.col("day") <= F.lit(hi)) if hi else part).coalesce(1).write.mode("append").parquet(at)
+    _, scored = jobs.rating_stream(jobs.read_stream(s, at, keyed.schema), files.scratch(s), "elo", files.scratch(s))
+    return scored.read().select(F.col("key.c").alias("match_id"), F.round("winner_before", 6).alias("winner_before"), F.round("loser_before", 6).alias("loser_before"))

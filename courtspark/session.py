@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -14,6 +16,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -28,13 +31,23 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
+    """The shared folder the cluster names in spark.checkpoint.dir; a local one only on a local master without that setting (tests).
+
+    A cluster without the setting is an error: executors share no machine-local folder. A local folder is removed when
+    the process ends.
+    """
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
     if current:
         return current
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="courtspark-ckpt-"))
-    return spark.sparkContext.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="courtspark-ckpt-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    context.setCheckpointDir(named)
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from courtspark.functions import normalize as N
+from courtspark.operators.keyed import latest_by_key
 from courtspark.session import ensure_checkpoint_dir
 
 #: Fixed: the first bytes of a zip archive (workbooks are zip archives).
@@ -95,29 +95,131 @@ def is_archive(files: DataFrame) -> DataFrame:
     return files.where(F.hex(F.substring("content", 1, 4)) == ZIP_MAGIC)
 
 
+def _folder(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def numbered(spark: SparkSession, path: str, prefix: str) -> dict[int, bool]:
+    """Number -> committed (its _SUCCESS mark stands) of the folders `prefix`<number> under `path`; none where `path` doesn't exist.
+
+    Any other failure to list them is raised: a table that can't be read is not a table that doesn't exist.
+    """
+    fs, at = _folder(spark, path)
+    if not fs.exists(at):
+        return {}
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = {s.getPath().getName(): s.getPath() for s in fs.listStatus(at) if s.isDirectory()}
+    return {int(name[len(prefix) :]): fs.exists(mark(p, "_SUCCESS")) for name, p in found.items() if name.startswith(prefix) and name[len(prefix) :].isdigit()}
+
+
+def write_numbered(df: DataFrame, path: str, prefix: str) -> int:
+    """Write `df` as the next numbered folder under `path`; it counts once Spark has committed it. Of two writers of one number one fails."""
+    number = max(numbered(df.sparkSession, path, prefix), default=0) + 1
+    df.write.mode("error").parquet(f"{path}/{prefix}{number:012d}")
+    return number
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _folder(spark, path)
+    fs.delete(at, True)
+
+
 @dataclass
 class Snapshot:
-    """A published table version: the pointer file names the folder, so readers see the old or the new one, never a mix."""
+    """A table as numbered versions, each a folder that is never changed: readers take the highest committed one.
+
+    Nothing is moved or overwritten, so at any moment, whatever fails, the last committed version is in force.
+    """
 
     spark: SparkSession
     root: str
     name: str
 
-    def pointer(self) -> str:
-        return f"{self.root}/{self.name}.pointer"
+    @property
+    def folder(self) -> str:
+        return f"{self.root}/{self.name}"
+
+    def version(self) -> int:
+        """The version in force, 0 where the table was never written."""
+        return max((k for k, done in numbered(self.spark, self.folder, "v").items() if done), default=0)
 
     def read(self) -> DataFrame:
-        at = self.spark.read.json(self.pointer()).first()["path"]
-        return self.spark.read.parquet(at)
+        version = self.version()
+        if not version:
+            raise FileNotFoundError(f"no version of {self.folder}")
+        return self.spark.read.parquet(f"{self.folder}/v{version:012d}")
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Remove all but the last `keep` committed versions, and what failed writers left behind before them."""
+        kept = sorted((k for k, done in numbered(self.spark, self.folder, "v").items() if done), reverse=True)[:keep]
+        for k in numbered(self.spark, self.folder, "v"):
+            if kept and k < kept[-1]:
+                remove(self.spark, f"{self.folder}/v{k:012d}")
 
 
 def publish(df: DataFrame, root: str, name: str) -> Snapshot:
-    """Write a new version, then move the pointer; a crash before that leaves the old version in force."""
-    snapshot = Snapshot(df.sparkSession, root, name)
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    df.sparkSession.createDataFrame([(json.dumps({"path": path}),)], "value string").coalesce(1).write.mode("overwrite").text(snapshot.pointer())
-    return snapshot
+    """Write a new version; a crash before its commit leaves the old version in force."""
+    write_numbered(df, f"{root}/{name}", "v")
+    return Snapshot(df.sparkSession, root, name)
+
+
+@dataclass
+class KeyedTable:
+    """The newest row per key, as a base snapshot and the batches that came after it.
+
+    A batch adds a folder of its own and rewrites nothing; readers merge base and batches; `compact` folds them into a
+    new base. Each base names the last batch it holds, so no batch counts twice or is lost, whatever fails in between.
+    """
+
+    spark: SparkSession
+    root: str
+    name: str
+    keys: Sequence[str]
+    order: Sequence[str]
+
+    @property
+    def folder(self) -> str:
+        return f"{self.root}/{self.name}"
+
+    def _newest(self, df: DataFrame) -> DataFrame:
+        rest = [c for c in df.columns if c not in self.keys and c not in self.order]
+        return latest_by_key(df, self.keys, [F.col(c).desc_nulls_last() for c in [*self.order, *rest]])
+
+    def _parts(self) -> tuple[list[str], int]:
+        bases = [k for k, done in numbered(self.spark, self.folder, "base").items() if done]
+        batches = [k for k, done in numbered(self.spark, self.folder, "batch").items() if done]
+        held = max(bases, default=0)
+        return [f"{self.folder}/base{held:012d}"] * bool(held) + [f"{self.folder}/batch{k:012d}" for k in sorted(batches) if k > held], max([held, *batches])
+
+    def upsert(self, batch: DataFrame) -> None:
+        """Add a batch; repeated batches change nothing that readers see."""
+        held = max(numbered(self.spark, self.folder, "base"), default=0)
+        number = max([held, *numbered(self.spark, self.folder, "batch")]) + 1
+        self._newest(batch).write.mode("error").parquet(f"{self.folder}/batch{number:012d}")
+
+    def exists(self) -> bool:
+        return bool(self._parts()[0])
+
+    def read(self, among: Column | None = None) -> DataFrame:
+        """The newest row per key (of the rows `among` allows)."""
+        parts, _ = self._parts()
+        if not parts:
+            raise FileNotFoundError(f"{self.folder} was never written")
+        frames = [self.spark.read.parquet(p) for p in parts]
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+        return self._newest(rows if among is None else rows.where(among))
+
+    def compact(self, among: Column | None = None) -> None:
+        """Fold all committed batches (the rows `among` allows) into a new base, then drop what they hold."""
+        parts, last = self._parts()
+        if len(parts) > 1:
+            target = f"{self.folder}/base{last:012d}"
+            if numbered(self.spark, self.folder, "base").get(last) is False:  # left by a crash, never read
+                remove(self.spark, target)
+            self.read(among).write.mode("error").parquet(target)
+            for p in parts:
+                remove(self.spark, p)
 
 
 def violations(rules: Mapping[str, DataFrame]) -> DataFrame:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from courtspark.operators.elo import START, K
-from courtspark.operators.keyed import latest_by_key, upsert_last_wins
-from courtspark.sources.files import Snapshot, publish
+from courtspark.operators.elo import elo_replay
+from courtspark.session import cut
+from courtspark.sources.files import KeyedTable
 
 
 def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
@@ -19,26 +17,22 @@ def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], N
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert_stream(stream: DataFrame, root: str, name: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]) -> Snapshot:
-    """Keep a snapshot table current: in each micro-batch the newest row per key wins over the stored one if it isn't older.
+def upsert_stream(stream: DataFrame, root: str, name: str, checkpoint: str, keys: Sequence[str], order: Sequence[str], compact_every: int = 50) -> KeyedTable:
+    """Keep a keyed table current: in each micro-batch the newest row per key wins over the stored one if it isn't older.
 
-    A repeated micro-batch changes nothing, so a restart after a failure gives the same table.
+    A micro-batch writes only its own rows; every `compact_every` batches are folded into the base. A repeated
+    micro-batch changes nothing, so a restart after a failure gives the same table. A table that can't be read stops
+    the stream; nothing is taken for absent that merely failed.
     """
-    spark = stream.sparkSession
-    snapshot = Snapshot(spark, root, name)
-    by = [F.col(c).desc_nulls_last() for c in order]
-
-    def each(batch: DataFrame, _: int) -> None:
-        try:
-            stored = snapshot.read()
-        except Exception:  # the first batch finds no table
-            publish(latest_by_key(batch, keys, by), root, name)
-            return
-        newest = latest_by_key(stored.unionByName(batch), keys, by)
-        publish(upsert_last_wins(stored, newest, keys, by), root, name)
+    kept = KeyedTable(stream.sparkSession, root, name, keys, order)
+
+    def each(batch: DataFrame, number: int) -> None:
+        kept.upsert(batch)
+        if number % compact_every == compact_every - 1:
+            kept.compact()
 
     drain(stream, checkpoint, each)
-    return snapshot
+    return kept
 
 
 def windowed_counts(stream: DataFrame, time: str, key: str, value: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -50,25 +44,30 @@ def sessions(stream: DataFrame, time: str, key: str, gap: str = "6 hours", late:
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), key, "n")
 
 
-def rating_stream(contests: DataFrame) -> DataFrame:
-    """(ladder, key, winner_before, loser_before) from a stream of ladder, day, key, winner, loser in order of arrival.
+def rating_stream(contests: DataFrame, root: str, name: str, checkpoint: str, compact_every: int = 50) -> tuple[KeyedTable, KeyedTable]:
+    """(ratings, contests with ratings before) kept current from a stream of ladder, day, key, winner, loser.
 
-    State per ladder: the present ratings. Contests of one micro-batch are applied by (day, key).
+    Each micro-batch is replayed by (day, key) from the stored ratings: a ladder's contests stream through sorted
+    batches, its present ratings are rows of a table, and a batch writes only the ratings it changed. Ratings carry
+    the batch that made them, so a repeated batch, told by its number, starts from where it started before. Contests of one batch are in order; a late one counts in the batch it arrives in.
     """
-
-    def fold(ladder: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ratings = dict(zip(*state.get, strict=True)) if state.exists else {}
-        rows = pd.concat(list(batches)).sort_values(["day", "key"])
-        out = []
-        for r in rows.itertuples():
-            a, b = ratings.get(r.winner, START), ratings.get(r.loser, START)
-            step = K * (1.0 - 1.0 / (1.0 + 10.0 ** ((b - a) / 400.0)))
-            ratings[r.winner], ratings[r.loser] = a + step, b - step
-            out.append((ladder[0], r.key, a, b))
-        state.update((list(ratings), list(ratings.values())))
-        yield pd.DataFrame(out, columns=["ladder", "key", "winner_before", "loser_before"])
-
-    return contests.groupBy("ladder").applyInPandasWithState(fold, "ladder string, key string, winner_before double, loser_before double", "players array<string>, ratings array<double>", "append", GroupStateTimeout.NoTimeout)
+    spark = contests.sparkSession
+    ratings = KeyedTable(spark, root, f"{name}-ratings", ["ladder", "player"], ["batch"])
+    scored = KeyedTable(spark, root, f"{name}-scored", ["ladder", "key"], ["batch"])
+
+    def each(batch: DataFrame, number: int) -> None:
+        earlier = F.col("batch") < number  # of a repeated batch the first attempt's rows don't count
+        if number % compact_every == 0:
+            ratings.compact(earlier)
+        known = ratings.read(earlier).select("ladder", "player", "rating") if ratings.exists() else None
+        out = cut(elo_replay(batch, ["ladder"], ["day", "key"], "winner", "loser", "key", known).withColumn("batch", F.lit(number)))
+        scored.upsert(out.select("ladder", "key", "winner_before", "loser_before", "batch"))
+        sides = F.array(F.struct(F.col("winner").alias("player"), F.col("winner_after").alias("rating")), F.struct(F.col("loser").alias("player"), F.col("loser_after").alias("rating")))
+        rows = out.join(batch.select("ladder", "key", "day"), ["ladder", "key"]).select("ladder", F.struct("day", "key").alias("at"), "batch", F.explode(sides).alias("e"))
+        ratings.upsert(rows.groupBy("ladder", F.col("e.player").alias("player"), "batch").agg(F.max_by("e.rating", "at").alias("rating")))
+
+    drain(contests, checkpoint, each)
+    return ratings, scored
 
 
 def read_stream(spark: SparkSession, folder: str, schema: object, files_per_batch: int = 1) -> DataFrame:

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from courtspark.sources import files
@@ -47,7 +49,53 @@ def test_streams(spark, tmp_path):
     snap = jobs.upsert_stream(stream(), f"{tmp_path}/out", "latest", f"{tmp_path}/c1", ["k"], ["t", "id"])
     want = {k: max((r[2], r[0]) for r in rows if r[1] == k)[1] for k in "ab"}
     assert {r["k"]: r["id"] for r in snap.read().collect()} == want
-    folded = jobs.rating_stream(stream().select(F.lit("l").alias("ladder"), F.col("t").alias("day"), F.col("id").cast("string").alias("key"), F.when(F.col("v") % 3 == 0, "x").otherwise("y").alias("winner"), F.when(F.col("v") % 3 == 0, "y").otherwise("x").alias("loser")))
-    jobs.drain(folded, f"{tmp_path}/c2", lambda b, _: b.write.mode("append").parquet(f"{tmp_path}/elo"))
-    got = spark.read.parquet(f"{tmp_path}/elo")
+    contests = stream().select(F.lit("l").alias("ladder"), F.col("t").alias("day"), F.col("id").cast("string").alias("key"), F.when(F.col("v") % 3 == 0, "x").otherwise("y").alias("winner"), F.when(F.col("v") % 3 == 0, "y").otherwise("x").alias("loser"))
+    ratings, scored = jobs.rating_stream(contests, f"{tmp_path}/elo", "r", f"{tmp_path}/c2")
+    got = scored.read()
     assert got.count() == 20 and got.where("abs(winner_before + loser_before - 3000) > 1e-6").count() == 0
+    assert got.select("batch").distinct().count() == 3 and abs(sum(r["rating"] for r in ratings.read().collect()) - 3000) < 1e-6
+
+
+def test_upsert_survives_what_fails(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, t int")
+    kept = files.KeyedTable(spark, str(tmp_path), "t", ["k"], ["t"])
+    with pytest.raises(FileNotFoundError):
+        kept.read()
+    kept.upsert(rows(*[(f"k{i}", 1) for i in range(10)]))
+    # a writer that died before its commit: its folder is there, its mark is not
+    rows(("k0", 99)).write.parquet(f"{kept.folder}/batch{2:012d}")
+    (tmp_path / "t" / f"batch{2:012d}" / "_SUCCESS").unlink()
+    assert kept.read().count() == 10 and kept.read().where("t > 1").count() == 0
+    kept.upsert(rows(("k0", 2), ("new", 1)))
+    assert kept.read().count() == 11 and kept.read().where("k = 'k0'").first()["t"] == 2
+    kept.upsert(rows(("k0", 2), ("new", 1)))  # a repeated batch
+    assert kept.read().count() == 11
+    # died between the new base and the removal of what it holds
+    keep = files.remove
+    files.remove = lambda *_: None
+    try:
+        kept.compact()
+    finally:
+        files.remove = keep
+    assert kept.read().count() == 11 and len(kept._parts()[0]) == 1
+    kept.upsert(rows(("k1", 5)))
+    kept.compact()
+    assert kept.read().count() == 11 and kept.read().where("k = 'k1'").first()["t"] == 5
+    # a stored part that is there but can't be read stops the job; nothing is published over it
+    for part in (tmp_path / "t").rglob("*.parquet"):
+        part.write_bytes(b"broken")
+    with pytest.raises(Exception):
+        kept.read().collect()
+
+
+def test_snapshot_versions(spark, tmp_path):
+    for n in (3, 5):
+        snap = files.publish(spark.range(n), str(tmp_path), "t")
+    spark.range(9).write.parquet(f"{snap.folder}/v{3:012d}")
+    (tmp_path / "t" / f"v{3:012d}" / "_SUCCESS").unlink()
+    assert snap.version() == 2 and snap.read().count() == 5
+    assert files.publish(spark.range(4), str(tmp_path), "t").read().count() == 4
+    snap.vacuum(keep=1)
+    assert sorted(files.numbered(spark, snap.folder, "v")) == [4]
+    with pytest.raises(FileNotFoundError):
+        files.Snapshot(spark, str(tmp_path), "none").read()
