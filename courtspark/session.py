@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -56,6 +57,52 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which all executors share."""
+    return f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def folder(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of the JVM for a path of any kind."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = folder(spark, path)
+    fs.delete(at, True)
+
+
+class Rounds:
+    """Cuts the lineage of an iteration by tables written in the shared folder.
+
+    What is read back has the size it has: a checkpoint keeps the estimate of the plan it came from, and estimates of
+    joins multiply from round to round. Of each name the newest two tables stay, older ones are removed.
+    """
+
+    def __init__(self) -> None:
+        self.paths: dict[str, list[str]] = {}
+
+    def __call__(self, name: str, df: DataFrame) -> DataFrame:
+        spark, kept = df.sparkSession, self.paths.setdefault(name, [])
+        kept.append(scratch(spark))
+        df.write.parquet(kept[-1])
+        if len(kept) > 2:
+            remove(spark, kept.pop(0))
+        return spark.read.schema(df.schema).parquet(kept[-1])
+
+    def drop(self, *names: str) -> None:
+        """Remove the tables of these names, once nothing reads them any more."""
+        for name in names:
+            for path in self.paths.pop(name, []):
+                remove(SparkSession.active(), path)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read back: later reads take only the columns they need."""
+    return Rounds()("table", df)
+
+
 _shipped: set[str] = set()
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -13,18 +12,13 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from courtspark.functions import normalize as N
 from courtspark.operators.keyed import latest_by_key
-from courtspark.session import ensure_checkpoint_dir
+from courtspark.session import folder, remove, scratch
 
 #: Fixed: the first bytes of a zip archive (workbooks are zip archives).
 ZIP_MAGIC = "504B0304"
 SERVE_CSV = {"ace": "ace", "df": "df", "svpt": "svpt", "1stIn": "first_in", "1stWon": "first_won", "2ndWon": "second_won", "SvGms": "sv_gms", "bpSaved": "bp_saved", "bpFaced": "bp_faced"}
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints, which all executors share."""
-    return f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-
-
 def write_csv(df: DataFrame, path: str | None = None, mode: str = "overwrite") -> str:
     path = path or scratch(df.sparkSession)
     df.write.mode(mode).option("header", True).csv(path)
@@ -95,17 +89,12 @@ def is_archive(files: DataFrame) -> DataFrame:
     return files.where(F.hex(F.substring("content", 1, 4)) == ZIP_MAGIC)
 
 
-def _folder(spark: SparkSession, path: str) -> tuple:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
 def numbered(spark: SparkSession, path: str, prefix: str) -> dict[int, bool]:
     """Number -> committed (its _SUCCESS mark stands) of the folders `prefix`<number> under `path`; none where `path` doesn't exist.
 
     Any other failure to list them is raised: a table that can't be read is not a table that doesn't exist.
     """
-    fs, at = _folder(spark, path)
+    fs, at = folder(spark, path)
     if not fs.exists(at):
         return {}
     mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -120,11 +109,6 @@ def write_numbered(df: DataFrame, path: str, prefix: str) -> int:
     return number
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    fs, at = _folder(spark, path)
-    fs.delete(at, True)
-
-
 @dataclass
 class Snapshot:
     """A table as numbered versions, each a folder that is never changed: readers take the highest committed one.
