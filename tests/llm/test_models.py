@@ -42,13 +42,17 @@ def test_skills_recover_known_strengths(spark):
             rows.append((a, b, c) if rng.random() < p else (b, a, c))
     rows += [(None, "i01", "x"), ("i01", "i01", "x"), ("i01", "i02", None), ("i01", "i02", "z")]
     df = spark.createDataFrame(rows, "w string, l string, c string").withColumn("pool", F.lit("p"))
-    out = skills(df, "w", "l", "pool", "c", ["x", "y"], rounds=8)
+    out = skills(df, "w", "l", "pool", "c", ["x", "y"])
     got = {(r["item"], r["context"]): r for r in out.collect()}
     assert len(got) == 80 and all(r["variance"] > 0 for r in got.values())
     pairs = [(a, b) for a in truth for b in truth if a[1] == b[1] and truth[a] - truth[b] > 0.5]
     assert sum(got[a]["mean"] > got[b]["mean"] for a, b in pairs) / len(pairs) > 0.95
     z = [(got[k]["mean"] - truth[k] - sum(got[j]["mean"] - truth[j] for j in truth) / 80) / math.sqrt(got[k]["variance"]) for k in truth]
     assert sum(abs(x) < 2.5 for x in z) / 80 > 0.9
+    joined = {(r["item"], r["context"]): r for r in skills(df, "w", "l", "pool", "c", ["x", "y"], broadcast_rows=0).collect()}
+    assert all(abs(joined[k]["mean"] - got[k]["mean"]) < 1e-6 for k in got)
+    settled = {(r["item"], r["context"]): r for r in skills(df, "w", "l", "pool", "c", ["x", "y"], tolerance=1e-5).collect()}
+    assert all(abs(settled[k]["mean"] - got[k]["mean"]) < 0.02 for k in got)
     ranked = ranking(out).where("context = 'x'").orderBy("position").collect()
     assert [r["position"] for r in ranked] == list(range(1, 41))
     assert all(a["lower"] >= b["lower"] for a, b in zip(ranked, ranked[1:], strict=False))
@@ -56,7 +60,7 @@ def test_skills_recover_known_strengths(spark):
 
 def test_skills_of_nothing(spark):
     df = spark.createDataFrame([], "w string, l string, pool string, c string")
-    assert skills(df, "w", "l", "pool", "c", ["x"], rounds=2).count() == 0
+    assert skills(df, "w", "l", "pool", "c", ["x"]).count() == 0
 
 
 @pytest.mark.parametrize(
