@@ -72,10 +72,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
-    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary).withColumnRenamed("key", "doc_id")
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p8_ids": p8_ids}
+def p8_ids_split(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+    """The ids of p8_ids, with every text of more than 1,000 characters encoded in pieces by other tasks, and runs in pieces of 8."""
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary, run=8, spread=1000)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p8_ids": p8_ids, "p8_ids_split": p8_ids_split}
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

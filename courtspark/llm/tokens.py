@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import regex
 import tiktoken
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: Fixed: how this vocabulary's words are split before encoding.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Characters of an unsplit run that are encoded at once, and of a text that one task takes.
+RUN, SPREAD = 16, 4_000_000
+
 
 @functools.cache
 def encoder(path: str) -> tiktoken.Encoding:
@@ -57,93 +60,111 @@ def join_tree(enc: tiktoken.Encoding, parts: list[list[int]]) -> list[int]:
     return parts[0] if parts else []
 
 
-def segments(text: str, size: int) -> Iterator[tuple[bool, bool, str]]:
+def segments(text: str, run: int, size: int) -> Iterator[tuple[bool, bool, str]]:
     """(is part of an unsplit run, continues the run before, text): pieces of about `size` characters.
 
-    Texts are cut after a word and before the next one, where the pattern can't see across; a run of more than `size`
-    characters that the pattern doesn't split is cut anywhere.
+    Runs of more than `run` characters that the pattern doesn't split stand alone, cut anywhere each `size`. The rest is
+    cut after a word and before the next one, where the pattern can't see across.
     """
-    start = end = 0
+    start = end = last = 0
     for m in regex.finditer(PATTERN, text):
-        if m.end() - m.start() > size:
-            if m.start() > start:
-                yield False, False, text[start : m.start()]
+        if m.end() - m.start() > run:
+            # white space before a word is split with regard to it: its last piece stands alone
+            apart = last if m.start() and text[m.start() - 1].isspace() else m.start()
+            yield from ((False, False, text[a:b]) for a, b in ((start, max(start, apart)), (max(start, apart), m.start())) if a < b)
             for at in range(m.start(), m.end(), size):
                 yield True, at > m.start(), text[at : min(at + size, m.end())]
             start = m.end()
         elif m.start() - start >= size and end == m.start() and not text[m.start() - 1].isspace():
             yield False, False, text[start : m.start()]
             start = m.start()
-        end = m.end()
+        last, end = m.start(), m.end()
     if start < len(text):
         yield False, False, text[start:]
 
 
-def encode_text(enc: tiktoken.Encoding, text: str | None, size: int = 50_000) -> list[int]:
-    """Ids of one text on one core; null and empty give none."""
-    if not text:
-        return []
-    return enc.encode_ordinary(text) if len(text) <= size else _assemble(enc, [(run, more, _encode(enc, run, part)) for run, more, part in segments(text, size)])
+_SPACES = re.compile(r"\s{%d,}" % (RUN + 1))
 
 
-def _encode(enc: tiktoken.Encoding, run: bool, part: str) -> list[int]:
-    return encode_run(enc, part.encode()) if run else enc.encode_ordinary(part)
+def _may_be_long(text: str, run: int) -> bool:
+    """Whether some unsplit run may have more than `run` characters: no word between spaces is shorter than a run inside it."""
+    return max(map(len, text.split()), default=0) >= run or len(text) - len(text.strip()) > run or bool((_SPACES if run == RUN else re.compile(r"\s{%d,}" % (run + 1))).search(text))
 
 
-def _assemble(enc: tiktoken.Encoding, parts: list[tuple[bool, bool, list[int]]]) -> list[int]:
+def encode_unsplit(enc: tiktoken.Encoding, text: str, run: int) -> list[int]:
+    """Ids of a run that the pattern doesn't split: pieces of `run` characters encoded apart, then joined as a tree."""
+    return join_tree(enc, [encode_run(enc, text[at : at + run].encode()) for at in range(0, len(text), run)])
+
+
+def encode_text(enc: tiktoken.Encoding, text: str | None, run: int = RUN) -> list[int]:
+    """Ids of one text; null and empty give none. Runs of more than `run` characters are encoded by tree concatenation."""
+    if not text:
+        return []
+    if not _may_be_long(text, run):
+        return enc.encode_ordinary(text)
     out: list[int] = []
-    k = 0
-    while k < len(parts):
-        stop = k + 1
-        while stop < len(parts) and parts[stop][1]:
-            stop += 1
-        out += join_tree(enc, [list(ids) for _, _, ids in parts[k:stop]])
-        k = stop
+    for unsplit, _, part in segments(text, run, len(text)):
+        out += encode_unsplit(enc, part, run) if unsplit else enc.encode_ordinary(part)
     return out
 
 
-def encode_corpus(docs: DataFrame, key: str, text: str, vocabulary: str, size: int = 50_000) -> DataFrame:
+def encode_corpus(docs: DataFrame, key: str, text: str, vocabulary: str, run: int = RUN, spread: int = SPREAD) -> DataFrame:
     """(key, ids array<int>): one row per row of `docs`; null and empty texts give an empty list.
 
-    No special tokens: text that spells one is ordinary text. Rows stay where they are, texts of up to `size`
-    characters are encoded whole. Longer ones are cut into segments spread over all tasks, encoded apart and joined
-    again per text; the result is the same at any `size`. Repeated rows give repeated results.
+    No special tokens: text that spells one is ordinary text. Every unsplit run of more than `run` characters (in
+    scripts without spaces nearly every clause) is encoded in pieces and joined by the tree. Rows stay where they are;
+    only a text of more than `spread` characters, too much for one task, is cut into pieces of that size that other
+    tasks encode the same way, joined by the same tree. Ids are the same at any `run` and `spread`. Repeated rows give
+    repeated results.
     """
     key_type = docs.schema[key].dataType.simpleString()
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    is_long = F.coalesce(F.length("text") > size, F.lit(False))
+    is_long = F.coalesce(F.length("text") > spread, F.lit(False))
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = pa.array([enc.encode_ordinary(t) for t in texts], pa.list_(pa.int32()))
+            ids = pa.array([encode_text(enc, t, run) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("key"), ids], ["key", "ids"])
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                for no, (run, more, part) in enumerate(segments(row.text, size)):
-                    yield pd.DataFrame({"key": [row.key], "mark": [row.mark], "copies": [row.copies], "no": [no], "run": [run], "more": [more], "part": [part]}).astype({"key": pdf["key"].dtype})
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                for no, (unsplit, more, part) in enumerate(segments(t, spread, spread)):
+                    kept = [batch.column(c).slice(i, 1) for c in ("key", "mark", "copies")]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array([no], pa.int32()), pa.array([unsplit]), pa.array([more]), pa.array([part])], ["key", "mark", "copies", "no", "unsplit", "more", "part"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            ids = [_encode(enc, r, p) for r, p in zip(batch.column("run").to_pylist(), batch.column("part").to_pylist(), strict=True)]
-            keep = ["key", "mark", "copies", "no", "run", "more"]
+            ids = [encode_unsplit(enc, p, run) if u else encode_text(enc, p, run) for u, p in zip(batch.column("unsplit").to_pylist(), batch.column("part").to_pylist(), strict=True)]
+            keep = ["key", "mark", "copies", "no", "more"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(ids, pa.list_(pa.int32()))], [*keep, "ids"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            ids = [_assemble(enc, [(p["run"], p["more"], p["ids"]) for p in parts]) for parts in batch.column("parts").to_pylist()]
+            ids = [_assemble(enc, [(p["more"], p["ids"]) for p in parts]) for parts in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("copies"), pa.array(ids, pa.list_(pa.int32()))], ["key", "copies", "ids"])
 
-    short = base.where(~is_long).mapInArrow(whole, f"key {key_type}, ids array<int>")
+    whole = base.where(~is_long).mapInArrow(here, f"key {key_type}, ids array<int>")
     long = base.where(is_long).groupBy("key", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("mark", F.xxhash64("text"))
-    cols = f"key {key_type}, mark long, copies long, no int, run boolean, more boolean"
-    pieces = long.select("key", "mark", "copies", "text").mapInPandas(split, cols + ", part string").repartition("key", "mark", "no")
-    parts = pieces.mapInArrow(encode, cols + ", ids array<int>").groupBy("key", "mark", "copies").agg(F.sort_array(F.collect_list(F.struct("no", "run", "more", "ids"))).alias("parts"))
+    cols = f"key {key_type}, mark long, copies long, no int, "
+    pieces = long.select("key", "mark", "copies", "text").mapInArrow(split, cols + "unsplit boolean, more boolean, part string").repartition("key", "mark", "no")
+    parts = pieces.mapInArrow(encode, cols + "more boolean, ids array<int>").groupBy("key", "mark", "copies").agg(F.sort_array(F.collect_list(F.struct("no", "more", "ids"))).alias("parts"))
     joined = parts.select("key", "copies", "parts").mapInArrow(assemble, f"key {key_type}, copies long, ids array<int>")
     joined = joined.select("key", "ids", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_n")).drop("_n")
-    return short.unionByName(joined).withColumnRenamed("key", key)
+    return whole.unionByName(joined).withColumnRenamed("key", key)
+
+
+def _assemble(enc: tiktoken.Encoding, parts: list[tuple[bool, list[int]]]) -> list[int]:
+    """Ids of a text from those of its segments: parts of one run are joined as a tree, others follow each other."""
+    out: list[int] = []
+    k = 0
+    while k < len(parts):
+        stop = k + 1
+        while stop < len(parts) and parts[stop][0]:
+            stop += 1
+        out += join_tree(enc, [list(ids) for _, ids in parts[k:stop]])
+        k = stop
+    return out

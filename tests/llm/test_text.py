@@ -21,7 +21,7 @@ TEXTS = ["", " ", "a", "Hello world's  end\n\n\t x <|endoftext|> 123,456 ça va"
 def test_segments_join_to_the_same_ids(size):
     enc = T.encoder(VOCABULARY)
     for text in TEXTS:
-        assert "".join(p for _, _, p in T.segments(text, size)) == text
+        assert "".join(p for _, _, p in T.segments(text, size, 2 * size)) == text
         assert T.encode_text(enc, text, size) == enc.encode_ordinary(text)
 
 
@@ -32,6 +32,16 @@ def test_any_text_at_any_size(text, size):
     assert T.encode_text(enc, text, size) == enc.encode_ordinary(text)
 
 
+def test_runs_of_whole_texts_go_through_the_tree(monkeypatch):
+    """Real texts in scripts without spaces: their ids come from joined pieces and equal the whole."""
+    joined = []
+    keep = T.join_ids
+    monkeypatch.setattr(T, "join_ids", lambda *a: joined.append(1) or keep(*a))
+    enc = T.encoder(VOCABULARY)
+    text = "ในการแข่งขันเทนนิสรายการใหญ่นักกีฬาคนนี้ชนะคู่แข่งสองเซตรวด  \n\n" + "昨日の試合で彼は相手に二対零で勝利し準決勝へ進出しました。" * 3
+    assert T.encode_text(enc, text) == enc.encode_ordinary(text) and len(joined) > 5
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="abcdeistnr", max_size=60), st.text(alphabet="abcdeistnr", max_size=60))
 def test_join_of_halves(a, b):
@@ -44,8 +54,8 @@ def test_corpus_ids_equal_the_other_library(spark):
     other.encode_special_tokens = True
     texts = [None, *TEXTS, TEXTS[3], "word " * 500]
     docs = spark.createDataFrame(list(enumerate(texts)) + [(99, TEXTS[4]), (99, TEXTS[4])], "doc_id long, text string")
-    for size in (50, 100_000):
-        got = T.encode_corpus(docs, "doc_id", "text", VOCABULARY, size=size).collect()
+    for run, spread in ((8, 50), (16, 100_000)):
+        got = T.encode_corpus(docs, "doc_id", "text", VOCABULARY, run, spread).collect()
         assert sorted(r["doc_id"] for r in got) == [*range(len(texts)), 99, 99]
         for r in got:
             text = TEXTS[4] if r["doc_id"] == 99 else texts[r["doc_id"]]
