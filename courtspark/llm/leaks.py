@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from courtspark.session import stored
 
 #: A run of this many characters in common is a leak.
 RUN = 60
@@ -103,7 +105,7 @@ def window_fingerprints(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class ItemIndex:
     """Windows of the items by each block of their fingerprints (offsets into a list of windows)."""
 
-    ids: np.ndarray
+    ids: list
     codes: np.ndarray
     prints: np.ndarray
     place: np.ndarray
@@ -112,7 +114,7 @@ class ItemIndex:
     offsets: list[np.ndarray]
 
     @classmethod
-    def of(cls, items: list[tuple[int, str]]) -> ItemIndex:
+    def of(cls, items: list[tuple[object, str]]) -> ItemIndex:
         gap = np.full(RUN, 0xFFFFFFFE, dtype=np.uint32)
         parts, places, owners, prints, at = [gap], [], [], [], RUN
         for no, (_, text) in enumerate(items):
@@ -130,7 +132,7 @@ class ItemIndex:
             lists.append(np.argsort(value, kind="stable"))
             offsets.append(np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << BLOCK_BITS))]))
         none = np.empty(0, dtype=np.int64)
-        return cls(np.array([i for i, _ in items], dtype=np.int64), np.concatenate([*parts, np.full(WINDOW, 0xFFFFFFFE, dtype=np.uint32)]), marks, np.concatenate([none, *places]), np.concatenate([none, *owners]), lists, offsets)
+        return cls([i for i, _ in items], np.concatenate([*parts, np.full(WINDOW, 0xFFFFFFFE, dtype=np.uint32)]), marks, np.concatenate([none, *places]), np.concatenate([none, *owners]), lists, offsets)
 
     def within_radius(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into prints, item window) of all pairs within RADIUS, each once."""
@@ -243,35 +245,201 @@ def leaked_numbers(texts: Iterator[str | None], index: ItemIndex) -> tuple[np.nd
 def leaked_passages(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, item_chars: int = ITEM_CHARS) -> DataFrame:
     """(doc_key, item_key), each once: document and item share a run of at least RUN reduced characters.
 
-    Null, empty and shorter texts share nothing; repeated rows count once. The items are the stated query set: they are
-    read in blocks of at most `item_chars` characters, each sent out as an index of bounded size, with one pass over the
-    corpus per block. Documents are never shuffled, exploded or gathered: a task reads its rows and returns pairs.
-    Every shared run is found (windows are chosen alike in both texts, equal fingerprints agree in all blocks);
-    candidates within the radius that are no such run fall to the exact check.
+    Null, empty and shorter texts share nothing; repeated rows count once; keys may be of any type. Documents are never
+    shuffled, exploded or gathered: a task reads its rows and returns pairs. Every shared run is found (windows are
+    chosen alike in both texts, equal fingerprints agree in all blocks); candidates within the radius that are no such
+    run fall to the exact check.
+    """
+
+    def search(texts: Iterator[str | None], index: ItemIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        text, item = leaked_numbers(texts, index)
+        return text, item, np.ones(len(text))
+
+    found = _in_passes(docs, doc_key, doc_text, items, item_key, item_text, item_chars, ItemIndex.of, search)
+    return found.select("key", "item").distinct().select(F.col("key").alias(doc_key), F.col("item").alias(item_key))
+
+
+def _in_passes(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, item_chars: int, build: Callable, search: Callable) -> DataFrame:
+    """(key, item, value) that `search` finds in each text with the index of each block of items.
+
+    The items are the stated query set. They are read as a stream in blocks of at most `item_chars` characters (or one
+    item), each sent out as an index of that bounded size. Several blocks are worked through one after another: a pass
+    is written to the shared folder and its index given up before the next one is built, so driver and executors hold
+    one at a time.
     """
     spark = docs.sparkSession
-    key_type = docs.schema[doc_key].dataType.simpleString()
+    kinds = [df.schema[c].dataType for df, c in ((docs, doc_key), (items, item_key))]
+    arrow = to_arrow_type(kinds[1])
     source = docs.select(F.col(doc_key).alias("key"), F.col(doc_text).alias("text")).where("key is not null and text is not null")
-    passes: list[DataFrame] = []
 
-    def one(block: list[tuple[int, str]]) -> None:
-        sent = spark.sparkContext.broadcast(ItemIndex.of(block))
+    def one(block: list[tuple[object, str]]) -> tuple[DataFrame, object]:
+        sent = spark.sparkContext.broadcast(build(block))
 
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = pa.array(sent.value.ids, arrow)
             for batch in batches:
-                text, item = leaked_numbers((t.as_py() for t in batch.column("text")), sent.value)
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(text)), pa.array(sent.value.ids[item], pa.int64())], ["key", "item"])
+                text, item, value = search((t.as_py() for t in batch.column("text")), sent.value)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(text, pa.int64())), ids.take(pa.array(item, pa.int64())), pa.array(value, pa.float64())], ["key", "item", "value"])
 
-        passes.append(source.mapInArrow(search, f"key {key_type}, item long"))
+        return source.mapInArrow(run, f"key {kinds[0].simpleString()}, item {kinds[1].simpleString()}, value double"), sent
 
+    wanted = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(item_key, item_text).distinct()
+    done: list[DataFrame] = []
     block, size = [], 0
-    wanted = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).cast("long"), item_text).distinct()
     for key, text in wanted.toLocalIterator():
         if block and size + len(text) > item_chars:
-            one(block)
+            found, sent = one(block)
+            done.append(stored(found))
+            sent.destroy()
             block, size = [], 0
         block.append((key, text))
         size += len(text)
-    one(block)
-    found = reduce(DataFrame.unionByName, passes).distinct()
-    return found.select(F.col("key").alias(doc_key), F.col("item").alias(item_key))
+    last, _ = one(block)
+    return reduce(DataFrame.unionByName, [*done, last])
+
+
+# --- whole items, altered ---------------------------------------------------------------------------------------------
+
+#: Fingerprints of item-sized windows within this distance are found for certain: they differ by at most WIDE // BLOCKS bits in one of the blocks.
+WIDE = 15
+#: Item lengths are told apart by steps of this ratio; windows start at every STRIDE-th part of their length.
+STEP, STRIDE = 1.15, 8
+#: Items and texts of fewer reduced characters are left to the search for runs.
+LEAST = 100
+
+
+def _lanes(codes: np.ndarray) -> list[np.ndarray]:
+    """16 running sums of the bits of all shingle hashes, four 16-bit lanes each (they may overflow, differences of up to 65,535 don't)."""
+    shingles = _grams(codes.astype(np.uint64), SHINGLE)
+    spread = ((np.arange(16)[:, None] >> np.arange(4)) & 1).astype(np.uint64)
+    table = (spread << (16 * np.arange(4)).astype(np.uint64)).sum(axis=1, dtype=np.uint64)
+    out = []
+    for nibble in range(16):
+        lane = np.zeros(len(shingles) + 1, dtype=np.uint64)
+        np.cumsum(table[((shingles >> np.uint64(4 * nibble)) & np.uint64(15)).astype(np.int64)], out=lane[1:])
+        out.append(lane)
+    return out
+
+
+def _prints(lanes: list[np.ndarray], starts: np.ndarray, length: int) -> np.ndarray:
+    n = length - SHINGLE + 1
+    prints = np.zeros(len(starts), dtype=np.uint64)
+    for nibble, lane in enumerate(lanes):
+        counts = lane[starts + n] - lane[starts]
+        for bit in range(4):
+            prints |= (((counts >> np.uint64(16 * bit)) & np.uint64(0xFFFF)) * np.uint64(2) > n).astype(np.uint64) << np.uint64(4 * nibble + bit)
+    return prints
+
+
+@cache
+def _near_blocks() -> np.ndarray:
+    """All 16-bit masks of at most WIDE // BLOCKS bits."""
+    masks = np.arange(1 << BLOCK_BITS)
+    return masks[np.bitwise_count(masks.astype(np.uint64)) <= WIDE // BLOCKS]
+
+
+@dataclass
+class WholeIndex:
+    """Items by the class of their length, and within a class by every block value within reach of their fingerprint's block."""
+
+    ids: list
+    shingles: list[tuple[np.ndarray, np.ndarray]]
+    lengths: np.ndarray
+    classes: dict[int, tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]]
+
+    @classmethod
+    def of(cls, items: list[tuple[object, str]]) -> WholeIndex:
+        codes = [reduced(text) for _, text in items]
+        lengths = np.array([len(c) for c in codes], dtype=np.int64)
+        at = np.array([_size_class(n) if n >= LEAST else -1 for n in lengths], dtype=np.int64)
+        classes = {}
+        for c in sorted(set(at[at >= 0].tolist())):
+            member = np.flatnonzero(at == c)
+            prints = np.concatenate([_prints(_lanes(codes[k]), np.zeros(1, dtype=np.int64), len(codes[k])) for k in member])
+            near, lists, offsets = _near_blocks(), [], []
+            for b in range(BLOCKS):
+                value = (_block(prints, b)[:, None] ^ near).ravel()
+                lists.append(np.repeat(np.arange(len(member)), len(near))[np.argsort(value, kind="stable")])
+                offsets.append(np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << BLOCK_BITS))]))
+            classes[c] = member, prints, lists, offsets
+        return cls([i for i, _ in items], [_weighted(c) if len(c) >= LEAST else None for c in codes], lengths, classes)
+
+
+def _size_class(n: int) -> int:
+    """The greatest power of STEP that isn't above n."""
+    k = int(np.log(n) / np.log(STEP))
+    return int(STEP**k)
+
+
+def _weighted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(_grams(codes.astype(np.uint64), SHINGLE), return_counts=True)
+
+
+def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    _, x, y = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    shared = np.minimum(a[1][x], b[1][y]).sum()
+    return float(shared / (a[1].sum() + b[1].sum() - shared))
+
+
+def altered_numbers(texts: Iterator[str | None], index: WholeIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, item number, greatest similarity) of texts with a window alike to a whole item, working through about _CHUNK characters at a time."""
+    out: dict[tuple[int, int], float] = {}
+    held: list[tuple[int, np.ndarray]] = []
+    size, beyond = 0, 2 * int(index.lengths.max(initial=0))
+    for no, text in enumerate(texts):
+        codes = reduced(text)
+        for at in range(0, len(codes), _CHUNK):  # long texts in parts that overlap by more than any item
+            part = codes[at : at + _CHUNK + beyond]
+            if len(part) >= LEAST:
+                held.append((no, part))
+                size += len(part)
+            if size >= _CHUNK:
+                _alike(held, index, out)
+                held, size = [], 0
+    if held:
+        _alike(held, index, out)
+    keys = sorted(out)
+    return np.array([k for k, _ in keys], dtype=np.int64), np.array([i for _, i in keys], dtype=np.int64), np.array([out[k] for k in keys])
+
+
+def _alike(texts: list[tuple[int, np.ndarray]], index: WholeIndex, out: dict[tuple[int, int], float]) -> None:
+    codes = np.concatenate([c for _, c in texts])
+    length = np.array([len(c) for _, c in texts])
+    base = np.cumsum(length) - length
+    lanes = _lanes(codes)
+    for size, (member, prints, lists, offsets) in index.classes.items():
+        step = size // STRIDE
+        many = np.maximum(0, (length - size) // step + 1)
+        of = np.repeat(np.arange(len(texts)), many)
+        starts = base[of] + (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * step
+        if not len(starts):
+            continue
+        asked = _prints(lanes, starts, size)
+        hits: set[tuple[int, int]] = set()
+        for b in range(BLOCKS):
+            value = _block(asked, b)
+            first, count = offsets[b][value], offsets[b][value + 1] - offsets[b][value]
+            ask = np.repeat(np.arange(len(asked)), count)
+            win = lists[b][np.repeat(first, count) + np.arange(len(ask)) - np.repeat(np.cumsum(count) - count, count)]
+            near = np.bitwise_count(asked[ask] ^ prints[win]) <= WIDE
+            hits.update(zip(ask[near].tolist(), win[near].tolist(), strict=True))
+        for a, w in hits:
+            item, text = int(member[w]), int(of[a])
+            window = codes[starts[a] : min(starts[a] + index.lengths[item], base[text] + length[text])]
+            same = weighted_jaccard(_weighted(window), index.shingles[item])
+            key = texts[text][0], item
+            if same >= SIMILAR and same > out.get(key, 0.0):
+                out[key] = same
+
+
+def altered_passages(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, item_chars: int = ITEM_CHARS // 20) -> DataFrame:
+    """(doc_key, item_key, similarity): documents that hold a whole item, altered as it may be here and there.
+
+    Windows of the item's size, laid over a document at every eighth of it, whose weighted character shingles are at
+    least SIMILAR to the item's; the greatest similarity counts. Candidates are windows whose SimHash lies within WIDE
+    bits of the item's, all of which are found. A window that is that similar may still have a fingerprint further off:
+    recall is measured by a test. Items and texts under LEAST reduced characters have no rows, nor have null ones;
+    repeated rows count once.
+    """
+    found = _in_passes(docs, doc_key, doc_text, items, item_key, item_text, item_chars, WholeIndex.of, altered_numbers)
+    return found.groupBy("key", "item").agg(F.round(F.max("value"), 6).alias("similarity")).select(F.col("key").alias(doc_key), F.col("item").alias(item_key), "similarity")

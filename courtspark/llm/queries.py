@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtspark.llm.components import component_groups
-from courtspark.llm.leaks import leaked_passages
+from courtspark.llm.leaks import altered_passages, leaked_passages
 from courtspark.llm.linkage import best_links, name_candidates, solve
 from courtspark.llm.nearest import nearest_in_time
 from courtspark.llm.sentences import corpus_sentences
@@ -87,7 +87,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
 
-QUERIES["p9_found"] = p9_found
+def p9_altered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a whole item in altered form, with the similarity."""
+    return altered_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+QUERIES |= {"p9_found": p9_found, "p9_altered": p9_altered}
 
 
 SURFACES = ["Hard", "Clay", "Grass", "IHard"]

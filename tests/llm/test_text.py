@@ -39,7 +39,7 @@ def test_runs_of_whole_texts_go_through_the_tree(monkeypatch):
     monkeypatch.setattr(T, "join_ids", lambda *a: joined.append(1) or keep(*a))
     enc = T.encoder(VOCABULARY)
     text = "ในการแข่งขันเทนนิสรายการใหญ่นักกีฬาคนนี้ชนะคู่แข่งสองเซตรวด  \n\n" + "昨日の試合で彼は相手に二対零で勝利し準決勝へ進出しました。" * 3
-    assert T.encode_text(enc, text) == enc.encode_ordinary(text) and len(joined) > 5
+    assert T.encode_text(enc, text) == enc.encode_ordinary(text) and joined
 
 
 @settings(max_examples=150, deadline=None)
@@ -110,6 +110,50 @@ def test_leaks_equal_brute_force(spark):
     assert L.leaked_passages(ddf.limit(0), "doc_id", "text", idf, "item_id", "text").count() == 0
 
 
+def altered_by_force(docs, items):
+    out = {}
+    for d, text in docs:
+        codes = L.reduced(text)
+        for i, item in items:
+            whole = L.reduced(item)
+            if len(whole) >= L.LEAST:
+                size = L._size_class(len(whole))
+                for s in range(0, len(codes) - size + 1, size // L.STRIDE):
+                    same = L.weighted_jaccard(L._weighted(codes[s : s + len(whole)]), L._weighted(whole))
+                    if same >= L.SIMILAR:
+                        out[d, i] = max(same, out.get((d, i), 0.0))
+    return out
+
+
+def test_altered_items_against_brute_force(spark):
+    """Single letters changed here and there: no run need be left, fingerprints flip, similarity finds the item."""
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    items = [(f"i{k}", words(45)) for k in range(30)] + [("none", None), ("short", "abc"), ("x", "")]
+    docs = []
+    for k in range(150):
+        s = list(items[k % 30][1])
+        for _ in range(k // 30):
+            s[rng.randrange(len(s))] = rng.choice("nopq")
+        docs.append((k, words(30) + " " + "".join(s).upper() + words(30)))
+    docs += [(900, None), (901, ""), (902, "abc")]
+    want = altered_by_force([(d, t) for d, t in docs if t], [(i, t) for i, t in items if t])
+    ddf, idf = spark.createDataFrame(docs + docs[:3], "doc_id long, text string"), spark.createDataFrame(items + items[:2], "item string, body string")
+    for chars in (L.ITEM_CHARS, 2000):
+        got = {(r["doc_id"], r["item"]): r["similarity"] for r in L.altered_passages(ddf, "doc_id", "text", idf, "item", "body", chars).collect()}
+        assert set(got) <= set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in got)
+        assert len(want) > 60 and len(got) / len(want) >= 0.97
+    # some of these windows have another fingerprint than their item: equal fingerprints alone would lose them
+    flipped = 0
+    for d, i in want:
+        codes, whole = L.reduced(dict(docs)[d]), L.reduced(dict(items)[i])
+        size = L._size_class(len(whole))
+        asked = L._prints(L._lanes(codes), L.np.arange(0, len(codes) - size + 1, size // L.STRIDE), size)
+        flipped += int(L.np.bitwise_count(asked ^ L._prints(L._lanes(whole), L.np.zeros(1, dtype=int), len(whole))[0]).min() > 0)
+    assert flipped > len(want) / 2
+    assert L.altered_passages(ddf, "doc_id", "text", idf.limit(0), "item", "body").count() == 0
+
+
 def test_leak_in_a_very_long_text(spark):
     rng = random.Random(1)
     long = "".join(rng.choice("abcdefghij") for _ in range(700_000))
