@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtspark.operators.keyed import latest_by_key
-from courtspark.session import cut
+from courtspark.session import Rounds, stored
 
 #: Letters that don't decompose, and name particles that tell nobody apart.
 _LETTERS = str.maketrans({"ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i"})
@@ -101,37 +102,76 @@ def _parsed(df: DataFrame, keep: str, columns: dict[str, str]) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def name_candidates(names: DataFrame, roster: DataFrame, least: float = 0.5) -> DataFrame:
-    """(pool, raw, player_id, fit): roster entries that a raw name may mean, with `fit` from name_similarity.
+@dataclass
+class Names:
+    """Raw names and roster entries as lists of plain words, and which last names a raw name may hold.
 
-    names: pool, raw. roster: pool, player_id, first, last; an entry may have several spellings, the best counts. Work
-    is on distinct names. Words are matched by deletion forms, and an entry meets a name only under a last name that is
-    nearly the same and an initial that fits, so common last names don't meet all their namesakes.
+    given: pool, raw, given. known: pool, player_id, firsts, lasts; an entry may have several spellings. words: pool, raw,
+    word, the last-name words of the roster that are within one edit or swap of a word of the raw name (by deletion
+    forms), or belong to an entry whose whole name, spaces left out, is. squeezed: pool, raw, player_id, fit of the latter.
     """
-    given = cut(_parsed(names.where("pool is not null and raw is not null").select("pool", "raw").distinct(), "pool string, raw string", {"given": "raw"}))
-    known = roster.where("pool is not null and player_id is not null").select("pool", "player_id", "first", "last").distinct()
-    known = cut(_parsed(known, "pool string, player_id string", {"firsts": "first", "lasts": "last"}).where("size(lasts) > 0").distinct())
-    initial = lambda w: F.substring(w, 1, 1)
-    roster_keys = known.withColumn("word", F.explode("lasts")).withColumn("initial", F.when(F.size("firsts") > 0, initial(F.get("firsts", F.lit(0)))).otherwise("*"))
-    given_keys = given.select("pool", "raw", "given", F.posexplode("given").alias("at", "word")).where("length(word) > 1")
-    others = F.transform(F.filter("given", lambda w, i: i != F.col("at")), initial)
-    given_keys = given_keys.withColumn("initial", F.explode(F.array_distinct(F.concat(F.array(F.lit("*")), F.when(F.size("given") > 1, others).otherwise(F.array().cast("array<string>"))))))
-    given_words = given_keys.select("pool", F.col("word").alias("given_word")).distinct().withColumn("form", F.explode(_deletions(F.col("given_word"))))
-    roster_words = roster_keys.select("pool", F.col("word").alias("roster_word")).distinct().withColumn("form", F.explode(_deletions(F.col("roster_word"))))
-    near = given_words.join(roster_words, ["pool", "form"]).select("pool", "given_word", "roster_word").distinct().where("levenshtein(given_word, roster_word) <= 2")
-    met = given_keys.join(near.withColumnRenamed("given_word", "word"), ["pool", "word"]).select("pool", "raw", "given", "initial", "roster_word")
-    alone = met.where((F.col("initial") == "*") & (F.size("given") == 1)).join(roster_keys.withColumnRenamed("word", "roster_word").drop("initial"), ["pool", "roster_word"])
-    fit_initial = met.join(roster_keys.withColumnRenamed("word", "roster_word"), ["pool", "roster_word", "initial"])
-    cols = ["pool", "raw", "given", "player_id", "firsts", "lasts"]
-    pairs = fit_initial.select(*cols).unionByName(alone.select(*cols)).distinct()
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fit = [name_similarity(list(g), list(f), list(s)) for g, f, s in zip(pdf["given"], pdf["firsts"], pdf["lasts"], strict=True)]
-            yield pdf[["pool", "raw", "player_id"]].assign(fit=fit)
 
-    scored = pairs.mapInPandas(score, "pool string, raw string, player_id string, fit double").unionByName(_squeezed_candidates(given, known))
-    return scored.groupBy("pool", "raw", "player_id").agg(F.max("fit").alias("fit")).where(F.col("fit") >= least)
+    given: DataFrame
+    known: DataFrame
+    words: DataFrame
+    squeezed: DataFrame
+
+    @classmethod
+    def of(cls, names: DataFrame, roster: DataFrame) -> Names:
+        """names: pool, raw. roster: pool, player_id, first, last. Work is on distinct names and distinct words."""
+        given = stored(_parsed(names.where("pool is not null and raw is not null").select("pool", "raw").distinct(), "pool string, raw string", {"given": "raw"}))
+        known = roster.where("pool is not null and player_id is not null").select("pool", "player_id", "first", "last").distinct()
+        known = stored(_parsed(known, "pool string, player_id string", {"firsts": "first", "lasts": "last"}).where("size(lasts) > 0").distinct())
+        held = given.select("pool", "raw", F.explode("given").alias("given_word"))
+        given_words = held.select("pool", "given_word").distinct().withColumn("form", F.explode(_deletions(F.col("given_word"))))
+        roster_words = known.select("pool", F.explode("lasts").alias("word")).distinct().withColumn("form", F.explode(_deletions(F.col("word"))))
+        near = given_words.join(roster_words, ["pool", "form"]).select("pool", "given_word", "word").distinct().where("levenshtein(given_word, word) <= 2")
+        squeezed = stored(_squeezed_candidates(given, known))
+        whole = squeezed.join(known, ["pool", "player_id"]).select("pool", "raw", F.explode("lasts").alias("word"))
+        words = stored(held.join(near, ["pool", "given_word"]).select("pool", "raw", "word").unionByName(whole).distinct())
+        return cls(given, known, words, squeezed)
+
+    def fits(self, pairs: DataFrame) -> DataFrame:
+        """(pool, raw, player_id, fit) of distinct (pool, raw, player_id): the best spelling's name_similarity, 0 to 1."""
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                fit = [name_similarity(list(g), list(f), list(s)) for g, f, s in zip(pdf["given"], pdf["firsts"], pdf["lasts"], strict=True)]
+                yield pdf[["pool", "raw", "player_id"]].assign(fit=fit)
+
+        asked = pairs.distinct().join(self.given, ["pool", "raw"]).join(self.known, ["pool", "player_id"]).select("pool", "raw", "given", "player_id", "firsts", "lasts")
+        scored = asked.mapInPandas(score, "pool string, raw string, player_id string, fit double").unionByName(self.squeezed)
+        return scored.groupBy("pool", "raw", "player_id").agg(F.max("fit").alias("fit"))
+
+
+def pair_candidates(names: Names, records: DataFrame, targets: DataFrame, before: int, after: int) -> DataFrame:
+    """(record, target, fit): records and targets whose two names each share a last name, nearly, and whose days are within reach.
+
+    records: record, pool, a, b (raw names), day. targets: target, pool, low, high (player ids), day; a target's day lies
+    at most `before` days before the record's and `after` after it. The key is (pool, both last names, time bucket): a
+    last name many share, or a player in a third of all targets, is split by the other name and the time. First names,
+    initials and the exact day are no gate here: fit, the product of both names' similarities in the better order, and
+    the rules downstream weigh them.
+    """
+    width = before + after + 1
+    key = lambda x, y: [F.least(x, y).alias("w1"), F.greatest(x, y).alias("w2")]
+    bucket = lambda day: F.floor(day / width).cast("int")
+    rec = records.withColumn("_d", F.unix_date("day"))
+    for s in "ab":
+        rec = rec.join(names.words.select("pool", F.col("raw").alias(s), F.col("word").alias(f"w{s}")), ["pool", s])
+    rec = rec.select("record", "pool", "a", "b", "_d", *key("wa", "wb"), F.explode(F.array_distinct(F.array(bucket(F.col("_d") - before), bucket(F.col("_d") + after)))).alias("bucket")).distinct()
+    last = names.known.select("pool", "player_id", F.explode("lasts").alias("word")).distinct()
+    tar = targets.where("low is not null and high is not null and low <> high").withColumn("_t", F.unix_date("day")).withColumn("bucket", bucket(F.col("_t")))
+    for s in ("low", "high"):
+        tar = tar.join(last.select("pool", F.col("player_id").alias(s), F.col("word").alias(f"w_{s}")), ["pool", s])
+    tar = tar.select("target", "pool", "low", "high", "_t", "bucket", *key("w_low", "w_high")).distinct()
+    met = rec.join(tar, ["pool", "w1", "w2", "bucket"]).where(F.col("_d").between(F.col("_t") - after, F.col("_t") + before))
+    met = stored(met.select("record", "target", "pool", "a", "b", "low", "high").distinct())
+    ways = F.array(*[F.struct(F.lit(way).alias("way"), F.lit(s).alias("side"), F.col(s).alias("raw"), F.col(p).alias("player_id")) for way, s, p in ((0, "a", "low"), (0, "b", "high"), (1, "a", "high"), (1, "b", "low"))])
+    sides = met.select("record", "target", "pool", F.explode(ways).alias("x")).select("record", "target", "pool", "x.*")
+    fits = names.fits(sides.select("pool", "raw", "player_id"))
+    each = sides.join(fits, ["pool", "raw", "player_id"]).groupBy("record", "target", "way").agg(F.product("fit").alias("fit"), F.count_distinct("side").alias("sides")).where("sides = 2 and fit > 0")
+    return each.groupBy("record", "target").agg(F.max("fit").alias("fit"))
 
 
 def _squeezed_candidates(given: DataFrame, known: DataFrame) -> DataFrame:
@@ -149,50 +189,66 @@ def _squeezed_candidates(given: DataFrame, known: DataFrame) -> DataFrame:
     return met.select("pool", "raw", "player_id", (F.col("worth") * (1.0 - F.levenshtein("squeezed", "form") / F.length("form")) * 0.97).alias("fit"))
 
 
-def solve(links: DataFrame, rounds: int = 15, rho: float = 1.0, prior: float = 0.35, evidence: float = 1.0, exclusive: float = 4.0, apart: float = 1.0, together: float = 1.0, same_hours: int = 30) -> DataFrame:
+#: Values that move less than this count as settled.
+SETTLED = 1e-3
+
+
+def solve(links: DataFrame, rho: float = 1.0, prior: float = 0.1, evidence: float = 1.0, exclusive: float = 4.0, apart: float = 1.0, together: float = 1.0, same_hours: int = 30, settled: float = SETTLED) -> DataFrame:
     """`links` with `truth` in 0..1: the soft truth that a record belongs to a target.
 
     links: record, target, moment (timestamp), similarity. Moments of one target count as one while no gap between
-    them exceeds `same_hours`. Weighted rules, each a hinge of a linear form: a similarity speaks for
-    its link (`evidence`), every link has a cost (`prior`), a record has one target (`exclusive`), records of one
-    target at different moments contradict each other (`apart`), those at one moment are the same thing and share
-    their target (`together`, transitivity). The sum is convex. Alternating directions: every rule keeps its own copy
-    of the values it touches and moves them by a closed form, which needs only sums over the rule's links; then copies
-    are averaged. Both steps are window sums by record and by target, so no component is ever gathered.
+    them exceeds `same_hours`. Weighted rules, each a hinge of a linear form: a similarity speaks for its link
+    (`evidence`, squared, so that there is one optimum), every link has a cost (`prior`), a record has one target
+    (`exclusive`), records of one target at different moments contradict each other (`apart`), those at one moment are
+    the same thing and share their target (`together`, transitivity). The sum is convex.
+
+    A link whose record has no other and whose target has no other touches no rule but the first two; its optimum is a
+    formula, similarity less prior / (2 evidence). The rest is solved by alternating directions: every rule keeps its
+    own copy of the values it touches and moves them by a closed form, which needs only sums over the rule's links;
+    then copies are averaged. Both steps are window sums by record and by target, so no component is ever gathered.
+    Rounds go on until no copy differs from its value, and no value from the round before, by more than `settled`.
     """
-    z0 = F.col("similarity").cast("double")
     in_order = Window.partitionBy("target").orderBy("moment", "record")
     seconds = F.unix_timestamp(F.col("moment").cast("timestamp"))
     apart_now = (seconds - F.lag(seconds).over(in_order) > 3600 * same_hours).cast("int")
-    grouped = links.withColumn("_new", F.coalesce(apart_now, F.lit(0))).withColumn("_moment", F.sum("_new").over(in_order)).drop("_new")
-    state = cut(grouped.withColumn("z", z0).withColumns({f"u{k}": F.lit(0.0) for k in range(1, 5)}))
-    by_record, by_target, by_moment = Window.partitionBy("record"), Window.partitionBy("target"), Window.partitionBy("target", "_moment")
+    by_record, by_target = Window.partitionBy("record"), Window.partitionBy("target")
+    grouped = links.withColumn("similarity", F.col("similarity").cast("double")).withColumn("_new", F.coalesce(apart_now, F.lit(0))).withColumn("_moment", F.sum("_new").over(in_order)).drop("_new")
+    grouped = stored(grouped.withColumn("_of_target", F.count(F.lit(1)).over(by_target)).withColumn("_of_record", F.count(F.lit(1)).over(by_record)))
     clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-    for k in range(rounds):
-        v = [None, *[F.col("z") - F.col(f"u{i}") for i in range(1, 5)]]
-        # similarity and cost: the minimum of two linear pieces and a square
-        down, up = v[1] - prior / rho, v[1] + (evidence - prior) / rho
-        x1 = F.when(down >= F.col("similarity"), down).when(up <= F.col("similarity"), up).otherwise(F.col("similarity"))
-        state = state.withColumn("x1", clip(x1)).withColumn("v2", v[2]).withColumn("v3", v[3]).withColumn("v4", v[4])
-        # one target per record: hinge on the sum
-        state = state.withColumn("over", F.sum("v2").over(by_record) - 1).withColumn("n", F.count(F.lit(1)).over(by_record))
-        state = state.withColumn("x2", F.col("v2") - F.least(F.lit(exclusive / rho), F.greatest(F.col("over") / F.col("n"), F.lit(0.0))))
-        # moments of one target: hinge on the sum of their means; links of one moment: each against their mean
-        state = state.withColumn("share", 1.0 / F.count(F.lit(1)).over(by_moment)).withColumn("mean4", F.avg("v4").over(by_moment))
-        state = state.withColumn("over3", F.sum(F.col("v3") * F.col("share")).over(by_target) - 1).withColumn("norm3", F.sum(F.col("share") * F.col("share")).over(by_target))
-        state = state.withColumn("x3", F.col("v3") - F.col("share") * F.least(F.lit(apart / rho), F.greatest(F.col("over3") / F.col("norm3"), F.lit(0.0))))
-        gap = F.col("v4") - F.col("mean4")
-        state = state.withColumn("x4", F.col("mean4") + F.signum(gap) * F.greatest(F.abs(gap) - together / rho, F.lit(0.0)))
-        xs = [F.col(f"x{i}") for i in range(1, 5)]
-        state = state.withColumn("z", clip(sum((x + F.col(f"u{i}") for i, x in enumerate(xs[1:], 2)), xs[0] + F.col("u1")) / 4))
-        state = state.withColumns({f"u{i}": F.col(f"u{i}") + F.col(f"x{i}") - F.col("z") for i in range(1, 5)})
-        state = state.select(*links.columns, "_moment", "z", "u1", "u2", "u3", "u4")
-        if k % 5 == 4:
-            state = cut(state)
-    return state.select(*links.columns, F.round("z", 6).alias("truth"))
-
-
-def best_links(solved: DataFrame, least: float = 0.5) -> DataFrame:
-    """The link of each record with the highest truth, if at least `least`; ties by similarity, then target."""
+    similarity = F.col("similarity")
+    alone = F.col("_of_target") + F.col("_of_record") == 2
+    free = grouped.where(alone).select(*links.columns, F.round(clip(similarity - prior / (2 * evidence)), 6).alias("truth"))
+    table = Rounds()
+    state = grouped.where(~alone).withColumn("z", similarity).withColumns({f"u{k}": F.lit(0.0) for k in range(1, 5)}).withColumn("gap", F.lit(1.0))
+    state = table("state", state.select(*links.columns, "_moment", "z", "u1", "u2", "u3", "u4", "gap"))
+    while (state.agg(F.max("gap").alias("gap")).first()["gap"] or 0.0) > settled:
+        for _ in range(10):
+            state = _round(state, links.columns, rho, prior, evidence, exclusive, apart, together)
+        state = table("state", state)
+    return free.unionByName(state.select(*links.columns, F.round("z", 6).alias("truth")))
+
+
+def _round(state: DataFrame, columns: Sequence[str], rho: float, prior: float, evidence: float, exclusive: float, apart: float, together: float) -> DataFrame:
+    """One round: each rule's copy x1 to x4, their average z, and the scaled differences u1 to u4. As SQL text, which is cheap to plan round by round."""
+    kept = [f"`{c}`" for c in columns]
+    by_record, by_target, by_moment = "OVER (PARTITION BY record)", "OVER (PARTITION BY target)", "OVER (PARTITION BY target, _moment)"
+    v = [f"z - u{k} AS v{k}" for k in range(1, 5)]
+    s = state.selectExpr(*kept, "_moment", "z", "u1", "u2", "u3", "u4", *v)
+    # similarity and cost: the minimum of a squared hinge, a line and a square
+    under, over = f"(({rho}D * v1 + {2 * evidence}D * similarity - {prior}D) / {rho + 2 * evidence}D)", f"(v1 - {prior / rho}D)"
+    x1 = f"least(greatest(CASE WHEN {under} <= similarity THEN {under} ELSE greatest({over}, similarity) END, 0D), 1D) AS x1"
+    # one target per record: hinge on the sum
+    s = s.selectExpr("*", x1, f"v2 - least({exclusive / rho}D, greatest((sum(v2) {by_record} - 1) / count(1) {by_record}, 0D)) AS x2")
+    # moments of one target: hinge on the sum of their means; links of one moment: each against their mean
+    s = s.selectExpr("*", f"1D / count(1) {by_moment} AS share", f"avg(v4) {by_moment} AS mean4")
+    s = s.selectExpr("*", f"v3 - share * least({apart / rho}D, greatest((sum(v3 * share) {by_target} - 1) / sum(share * share) {by_target}, 0D)) AS x3", f"mean4 + signum(v4 - mean4) * greatest(abs(v4 - mean4) - {together / rho}D, 0D) AS x4")
+    s = s.selectExpr("*", "least(greatest((x1 + u1 + x2 + u2 + x3 + u3 + x4 + u4) / 4, 0D), 1D) AS z_new")
+    gap = "greatest(abs(z_new - z), abs(x1 - z_new), abs(x2 - z_new), abs(x3 - z_new), abs(x4 - z_new)) AS gap"
+    return s.selectExpr(*kept, "_moment", "z_new AS z", *[f"u{k} + x{k} - z_new AS u{k}" for k in range(1, 5)], gap)
+
+
+def best_links(solved: DataFrame, least: float = 0.5, lowest: float = 0.3) -> DataFrame:
+    """The link of each record with the highest truth: of records whose truths sum to at least `least` (they have a target at all), if it is at least `lowest`; ties by similarity, then target."""
     order = [F.col("truth").desc(), F.col("similarity").desc(), F.col("target").asc()]
-    return latest_by_key(solved.where(F.col("truth") >= least), ["record"], order)
+    held = solved.withColumn("_held", F.sum("truth").over(Window.partitionBy("record"))).where((F.col("_held") >= least) & (F.col("truth") >= lowest)).drop("_held")
+    return latest_by_key(held, ["record"], order)

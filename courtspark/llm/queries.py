@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from courtspark.llm.components import component_groups
 from courtspark.llm.leaks import altered_passages, leaked_passages
-from courtspark.llm.linkage import best_links, name_candidates, solve
+from courtspark.llm.linkage import Names, best_links, pair_candidates, solve
 from courtspark.llm.nearest import nearest_in_time
 from courtspark.llm.sentences import corpus_sentences
 from courtspark.llm.skill import ranking, skills
 from courtspark.llm.survivor import best_fields, best_records
 from courtspark.llm.tokens import encode_corpus
 from courtspark.operators.keyed import latest_by_key
-from courtspark.session import cut
+from courtspark.session import cut, stored
 from courtspark.sources.tables import both_players, clean, matches_latest, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -134,32 +134,35 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["p10_found"] = p10_found
 
 
+#: Days after a tournament's first day up to which a listing is held against its matches (a match starts within 8).
+FARTHEST = 12
+
+
 def p4_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(record, target, moment, similarity and what it's made of): listings and matches that their names, dates and tour allow."""
+    """(record, target, moment, similarity and what it's made of): listings and matches that share last names, nearly, within some days."""
     odds = table(spark, sf_dir, "aggregated_odds").where("event_id is not null and tour is not null and commence_time_utc is not null")
     events = latest_by_key(odds, ["event_id"], [F.col("fetched_at").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in ("sport_key", "tour", "player_a_name", "player_b_name", "commence_time_utc")]])
     events = events.select("event_id", F.upper(clean(F.col("tour"))).alias("pool"), F.col("player_a_name").alias("a"), F.col("player_b_name").alias("b"), "commence_time_utc", "sport_key")
     names = events.select("pool", F.explode(F.array("a", "b")).alias("raw"))
     players = table(spark, sf_dir, "players").select(F.upper(F.col("tour")).alias("pool"), "player_id", F.col("name_first").alias("first"), F.coalesce("name_last", "full_name").alias("last"))
-    fits = cut(name_candidates(names, players))
-    side = lambda s: fits.select("pool", F.col("raw").alias(s), F.col("player_id").alias(f"{s}_id"), F.col("fit").alias(f"{s}_fit"))
-    who = events.join(side("a"), ["pool", "a"]).join(side("b"), ["pool", "b"]).where("a_id <> b_id")
-    who = who.select("event_id", "commence_time_utc", "sport_key", F.least("a_id", "b_id").alias("low"), F.greatest("a_id", "b_id").alias("high"), (F.col("a_fit") * F.col("b_fit")).alias("fit"))
-    matches = matches_latest(spark, sf_dir, ["tour", "tourney_name", "tourney_date", "round", "winner_player_id", "loser_player_id"]).select(
-        "match_id", "tourney_name", "tourney_date", "round", F.least("winner_player_id", "loser_player_id").alias("low"), F.greatest("winner_player_id", "loser_player_id").alias("high")
-    )
-    offset = F.date_diff(F.col("commence_time_utc").cast("date"), F.col("tourney_date"))
-    pairs = who.join(matches, ["low", "high"]).withColumn("days", offset).where("days between 0 and 8")
+    matches = matches_latest(spark, sf_dir, ["tour", "tourney_name", "tourney_date", "round", "winner_player_id", "loser_player_id"]).where("tourney_date is not null")
+    matches = stored(matches.select("match_id", F.upper(clean(F.col("tour"))).alias("pool"), "tourney_name", "tourney_date", "round", F.least("winner_player_id", "loser_player_id").alias("low"), F.greatest("winner_player_id", "loser_player_id").alias("high")))
+    days = events.select(F.col("event_id").alias("record"), "pool", "a", "b", F.col("commence_time_utc").cast("date").alias("day"))
+    met = pair_candidates(Names.of(names, players), days, matches.select(F.col("match_id").alias("target"), "pool", "low", "high", F.col("tourney_date").alias("day")), FARTHEST, 3)
+    pairs = met.where("fit >= 0.1").select(F.col("record").alias("event_id"), F.col("target").alias("match_id"), "fit")
+    pairs = pairs.join(events.select("event_id", "commence_time_utc", "sport_key"), "event_id").join(matches.select("match_id", "tourney_name", "tourney_date", "round"), "match_id")
+    pairs = pairs.withColumn("days", F.date_diff(F.col("commence_time_utc").cast("date"), F.col("tourney_date")))
     listed = F.regexp_replace(F.lower("sport_key"), r"^tennis_(atp|wta)_?", "")
     named = F.regexp_replace(F.regexp_replace(F.lower(clean(F.col("tourney_name"))), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
     place = F.when((listed == "") | named.isNull() | (named == ""), 0.85).when(listed == named, 1.0).when(named.startswith(listed) | listed.startswith(named), 0.97).otherwise(F.greatest(F.lit(0.0), 0.6 - F.levenshtein(listed, named) / F.greatest(F.length(listed), F.length(named))))
     pairs = pairs.withColumn("place", place)
-    pairs = cut(pairs.groupBy("event_id", "match_id", "commence_time_utc", "days", "round").agg(F.max("fit").alias("fit"), F.max("place").alias("place")))
-    usual = pairs.groupBy(F.coalesce("round", F.lit("")).alias("stage"), "days").agg(F.count(F.lit(1)).alias("n"))
+    pairs = stored(pairs.select("event_id", "match_id", "commence_time_utc", "days", "round", "fit", "place"))
+    usual = pairs.where("days between 0 and 8").groupBy(F.coalesce("round", F.lit("")).alias("stage"), "days").agg(F.count(F.lit(1)).alias("n"))
     most = usual.groupBy("stage").agg(F.max("n").alias("most"))
     usual = usual.join(most, "stage").select("stage", "days", (F.col("n") / F.col("most")).alias("usual"))
-    pairs = pairs.withColumn("stage", F.coalesce("round", F.lit(""))).join(usual, ["stage", "days"])
-    similarity = F.sqrt("fit") * F.col("place") * (0.85 + 0.15 * F.sqrt("usual"))
+    pairs = pairs.withColumn("stage", F.coalesce("round", F.lit(""))).join(usual, ["stage", "days"], "left")
+    # a day on which no match of the tournament starts speaks against the pair, as names and place do
+    similarity = F.sqrt("fit") * F.col("place") * F.when(F.col("days").between(0, 8), 0.85 + 0.15 * F.sqrt(F.coalesce("usual", F.lit(0.0)))).otherwise(0.45)
     return pairs.select(F.col("event_id").alias("record"), F.col("match_id").alias("target"), F.col("commence_time_utc").alias("moment"), "fit", "place", "days", "round", similarity.alias("similarity"))
 
 
