@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -24,20 +25,20 @@ _PAIR_MARK = regex.compile('["«»„“”「」『』()\\[\\]（）【】《
 _CLOSES = {"«": "»", "„": "“”", "“": "”", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "【": "】", "《": "》", "〈": "〉"}
 _CLOSERS = set("\"»“”」』)]）】》〉'’")
 _OPENERS = set("\"«„“「『([（【《〈¿¡")
+#: Marks around a word that are none of its own.
+_AROUND = ",;:!?…\"“”„«»()[]{}‘'’*"
 _INVISIBLE = set("\u200b\u200c\u200d\u2060\ufeff\u00ad")
 _STOPS, _FULL_STOPS, _CLEAR = set(".!?…。！？｡．؟।॥"), set("。！？｡"), set("!?！？؟।॥。｡")
 _THAI_SPACE = regex.compile("(?<=\\p{Thai}[\u200b]?)[^\\S\\n\\r]+(?=[\u200b]?\\p{Thai})")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-_WORDS = regex.compile(r"[\p{L}\p{M}]+(?:['’.-][\p{L}\p{M}]+)*")
-_PLAIN_WORDS = regex.compile(r"[\p{L}\p{M}]++(?:['’.-][\p{L}\p{M}]++)*+(?!\.)")
 _INITIALS = regex.compile(r"\p{L}(?:\.\p{L})+")
 _SCRIPTS = (("th", r"\p{Thai}"), ("hi", r"\p{Devanagari}"), ("ar", r"\p{Arabic}"), ("ru", r"\p{Cyrillic}"), ("ja", r"[\p{Hiragana}\p{Katakana}]"), ("zh", r"\p{Han}"))
 _ANY_SCRIPT = regex.compile("|".join(f"(?P<{name}>{p}++)" for name, p in (("latin", r"\p{Latin}"), *_SCRIPTS)))
-_LATIN_WORD = regex.compile(r"\p{Latin}+")
+_NO_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
 _NO_CASE, _NO_SPACE = {"th", "hi", "ar", "ja", "zh"}, {"ja", "zh"}
 
 #: Thresholds on log-likelihood ratios (7.88: one in 200 by chance), as in unsupervised period disambiguation.
-ABBREVIATION, INNER, COLLOCATION, REPORTING = 0.3, 7.88, 30.0, 15.0
+ABBREVIATION, INNER, COLLOCATION, REPORTING, STARTER = 0.3, 7.88, 30.0, 15.0, 30.0
 #: Words a language is told by, the most frequent of each.
 TELLING_WORDS = 400
 #: Entries of a learned model that are sent out at once; more make more passes over the corpus.
@@ -52,19 +53,34 @@ class Model:
     abbreviations: set[tuple[str, str]] = field(default_factory=set)
     collocations: set[tuple[str, str, str]] = field(default_factory=set)
     reporting: set[tuple[str, str]] = field(default_factory=set)
+    starters: set[tuple[str, str]] = field(default_factory=set)
     words: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
     unseen: dict[str, float] = field(default_factory=dict)
 
 
+_CODE = regex.compile(r"[a-z]{2}(?:[-_].*)?", regex.DOTALL)
+#: Marks as spaces, for words that tell a language.
+_TO_SPACES = str.maketrans({c: " " for c in ",;:!?…\"“”„«»()[]{}<>/|*_=+-–—•¡¿0123456789"})
+
+
+@functools.cache
 def declared(lang: str | None) -> str:
     code = (lang or "").strip().lower()
-    return code[:2] if regex.fullmatch(r"[a-z]{2}(?:[-_].*)?", code) else ""
+    return code[:2] if _CODE.fullmatch(code) else ""
+
+
+def telling_words(text: str) -> list[str]:
+    """Words in lower case; one before a period may be an abbreviation and tells nothing."""
+    return [w for w in text.lower().translate(_TO_SPACES).split() if w[-1] != "."]
 
 
 def script_language(text: str) -> str:
     """Language told by script; '' for Latin or none."""
     if text.isascii():
         return ""
+    plain = text.encode("ascii", "ignore")
+    if 2 * (len(text) - len(plain)) <= len(plain.translate(None, _NO_LETTERS)):  # no script has half as many letters as Latin
+        return ""
     counts = dict.fromkeys([name for name, _ in _SCRIPTS], 0) | {"latin": 0}
     for m in _ANY_SCRIPT.finditer(text):
         counts[m.lastgroup] += m.end() - m.start()
@@ -81,11 +97,15 @@ def language(text: str, lang: str | None, model: Model) -> str:
     if by_script or not model.unseen:
         return by_script or declared(lang)
     scores = {c: 0.0 for c in model.unseen}
-    for word, n in Counter(_WORDS.findall(text.lower())).items():
-        if known := model.words.get(word):
-            seen = dict(known)
-            for c, least in model.unseen.items():
-                scores[c] += n * seen.get(c, least)
+    words, some = model.words, 0
+    for word, n in Counter(telling_words(text)).items():
+        if known := words.get(word):
+            some += n
+            for c, over in known:
+                scores[c] += n * over
+    if some:
+        for c, least in model.unseen.items():
+            scores[c] += some * least
     best = max(sorted(scores), key=scores.__getitem__)
     return best if any(scores.values()) else declared(lang)
 
@@ -194,20 +214,25 @@ def _following(text: str, p: int, end: int, spaced: bool) -> tuple[str, str]:
     return ("digit" if first.isdigit() else "lower" if first.islower() else "start"), word
 
 
+_OPENING = regex.compile("[" + "".join(regex.escape(c) for c in sorted(_OPENERS)) + "]")
+_FEW, _SOME = regex.compile(r"\d{1,2}"), regex.compile(r"\d{3,4}")
+
+
 def _type(text: str, start: int, mark: int) -> str:
     """The word before a period, by which it is counted: numbers and initials in classes, 'z. b' with the part before."""
-    a = mark
-    while a > start and not text[a - 1].isspace() and text[a - 1] not in _OPENERS:
-        a -= 1
-    token = "".join(c for c in text[a:mark] if c not in _INVISIBLE).strip("'’-–—,;:%)")
-    if not token:
-        return ""
-    if any(c.isdigit() for c in token):
-        return "#1" if regex.fullmatch(r"\d{1,2}", token) else "#4" if regex.fullmatch(r"\d{3,4}", token) else "#x"
-    if len(token) == 1 and token.isupper():
-        return "#I"
-    kind = unicodedata.normalize("NFC", token.lower())
-    if len(kind) <= 3 and a > start + 2:
+    near = max(start, mark - 48)
+    parts = text[near:mark].rsplit(None, 1)
+    while near > start and (len(parts) < 2 and not text[near:mark][:1].isspace()):  # a longer word: look further back
+        near = max(start, near - 4 * (mark - near))
+        parts = text[near:mark].rsplit(None, 1)
+    word = parts[-1] if parts and mark > start and not text[mark - 1].isspace() else ""
+    opened = 0
+    for m in _OPENING.finditer(word):
+        opened = m.end()
+    a = mark - len(word) + opened
+    kind = _kind(word[opened:])
+    if kind and kind[0] != "#" and len(kind) <= 3 and a > start + 2:
+        token = word[opened:]
         b = a - 1
         while b > start and text[b].isspace():
             b -= 1
@@ -221,6 +246,18 @@ def _type(text: str, start: int, mark: int) -> str:
     return kind
 
 
+@functools.lru_cache(200_000)
+def _kind(word: str) -> str:
+    token = "".join(c for c in word if c not in _INVISIBLE).strip("'’-–—,;:%)")
+    if not token:
+        return ""
+    if any(c.isdigit() for c in token):
+        return "#1" if _FEW.fullmatch(token) else "#4" if _SOME.fullmatch(token) else "#x"
+    if len(token) == 1 and token.isupper():
+        return "#I"
+    return unicodedata.normalize("NFC", token.lower())
+
+
 def _edges(text: str, a: int, b: int, lang: str) -> tuple[str, str]:
     """How a clause begins and ends, for languages without case."""
     words = _WORD.findall(text[a:b])
@@ -256,9 +293,17 @@ def count(text: str, lang: str, into: Counter) -> None:
                 for edge in _edges(text, s.resume, _clause_end(s, here, k, end), lang):
                     if edge:
                         into[lang, "edge", edge, "quote" if s.kind == "quote" else "other"] += 1
-    if lang not in _NO_SPACE:
-        for word in _PLAIN_WORDS.findall(text.lower()):
-            into[lang, "word", unicodedata.normalize("NFC", word), ""] += 1
+
+
+def count_words(tokens: Counter, lang: str, into: Counter) -> None:
+    """Add the words among space-separated tokens: (language, 'word', word, '') where no period follows, and 'small' for those in lower case, for languages with case."""
+    for token, n in tokens.items():
+        word = token.strip(_AROUND)
+        if word and not token.rstrip(_AROUND).endswith(".") and any(map(str.isalpha, word)):
+            low = unicodedata.normalize("NFC", word.lower())
+            into[lang, "word", low, ""] += n
+            if lang not in _NO_CASE and word == word.lower():
+                into[lang, "small", low, ""] += n
 
 
 def ends(s: Stop, text: str, lang: str, model: Model, clause_end: int) -> bool:
@@ -277,7 +322,11 @@ def ends(s: Stop, text: str, lang: str, model: Model, clause_end: int) -> bool:
         return s.kind == "full" or s.follows != "lower"
     if s.resume == s.end and s.next:
         return False
-    if s.follows == "lower" or (lang, s.type) in model.inner:
+    if s.follows == "lower":
+        return False
+    if s.follows == "start" and s.resume > s.end and len(s.next) > 1 and (lang, s.next) in model.starters and s.type != "#1":
+        return True
+    if (lang, s.type) in model.inner:
         return False
     if (lang, "#I") in model.inner and (lang, s.type) not in model.abbreviations and _INITIALS.fullmatch(s.type):
         return False
@@ -316,15 +365,18 @@ def sentence_spans(text: str | None, code: str, model: Model) -> list[tuple[int,
     return spans
 
 
-def _counted(docs: DataFrame, add: Callable[[str, str | None, Counter], None]) -> DataFrame:
-    """(lang, kind, a, b, n) summed over (text, lang) rows; `add` counts one text. Tasks count before anything is shuffled."""
+def _counted(docs: DataFrame, add: Callable[[str, str | None, Counter, dict[str, Counter]], None]) -> DataFrame:
+    """(lang, kind, a, b, n) summed over (text, lang) rows; `add` counts one text, words of a batch are counted together. Tasks count before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
+            tokens: dict[str, Counter] = {}
             for t, declared_as in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 if t:
-                    add(t, declared_as, seen)
+                    add(t, declared_as, seen, tokens)
+            for lang, held in tokens.items():
+                count_words(held, lang, seen)
             cols = list(zip(*seen, strict=True)) if seen else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([*[pa.array(list(c), pa.string()) for c in cols], pa.array(list(seen.values()), pa.int64())], ["lang", "kind", "a", "b", "n"])
 
@@ -340,18 +392,20 @@ def learn(docs: DataFrame, text: str, lang: str) -> DataFrame:
     counted together under ''.
     """
 
-    def labels(t: str, declared_as: str | None, into: Counter) -> None:
+    def labels(t: str, declared_as: str | None, into: Counter, _: dict[str, Counter]) -> None:
         if (code := script_language(t) or declared(declared_as)) and code not in _NO_SPACE:
-            for word, n in Counter(_PLAIN_WORDS.findall(t.lower())).items():
-                if _LATIN_WORD.fullmatch(word := unicodedata.normalize("NFC", word)):
-                    into[code, "label", word, ""] += n
+            for word, n in Counter(telling_words(t)).items():
+                into[code, "label", word, ""] += n
 
     source = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null")
     labelled = cut(_counted(source, labels))
     sent = docs.sparkSession.sparkContext.broadcast(model_of([tuple(r) for r in telling(labelled).collect()]))
 
-    def evidence(t: str, declared_as: str | None, into: Counter) -> None:
-        count(t, language(t, declared_as, sent.value), into)
+    def evidence(t: str, declared_as: str | None, into: Counter, tokens: dict[str, Counter]) -> None:
+        code = language(t, declared_as, sent.value)
+        count(t, code, into)
+        if code not in _NO_SPACE:
+            tokens.setdefault(code, Counter()).update(t.split())
 
     return labelled.unionByName(_counted(source, evidence))
 
@@ -403,6 +457,14 @@ def findings(evidence: DataFrame) -> DataFrame:
     together = (F.col("n") >= 3) & (F.coalesce("n_lead", F.lit(0)) < F.col("n")) & (F.try_divide(F.col("n"), F.col("n_type")) > 3 * share) & (F.try_divide(F.col("n"), F.col("n_type")) > 3 * starts_often) & (_ratio(F.col("n").cast("double"), F.col("n_type").cast("double"), share) > COLLOCATION)
     out = out.unionByName(pairs.where(together).select("lang", F.lit("collocation").alias("what"), F.col("type").alias("a"), F.col("next").alias("b"), F.lit(0.0).alias("weight")))
 
+    # a word that begins sentences after clear ends far more often than it occurs, and isn't a name: it occurs in lower case too
+    small = evidence.where("kind = 'small'").select("lang", F.col("a").alias("next"), F.col("n").alias("n_small"))
+    often = lead.join(words.select("lang", F.col("a").alias("next"), "plain"), ["lang", "next"]).join(small, ["lang", "next"]).join(all_lead, "lang").join(totals.select("lang", "tokens"), "lang")
+    rate = F.least(F.greatest(F.try_divide(F.col("all_lead"), F.col("tokens")), F.lit(1e-6)), F.lit(0.9))
+    n_all = F.greatest(F.col("plain"), F.col("n_lead"))
+    starts = (F.col("n_small") >= 0.05 * n_all) & (F.col("n_lead") / n_all > 2 * rate) & (_ratio(F.col("n_lead").cast("double"), n_all.cast("double"), rate) > STARTER)
+    out = out.unionByName(often.where(starts).select("lang", F.lit("starter").alias("what"), F.col("next").alias("a"), none.alias("b"), F.lit(0.0).alias("weight")))
+
     edges = evidence.where("kind = 'edge'").groupBy("lang", "a").pivot("b", ["quote", "other"]).agg(F.sum("n")).na.fill(0)
     sums = edges.groupBy("lang", F.col("a").startswith("^").alias("head")).agg(F.sum("quote").alias("q"), F.sum("other").alias("o"))
     edges = edges.withColumn("head", F.col("a").startswith("^")).join(sums, ["lang", "head"])
@@ -417,7 +479,7 @@ def findings(evidence: DataFrame) -> DataFrame:
 def telling(evidence: DataFrame) -> DataFrame:
     """The model's entries (lang, what, a, b, weight) by which the language of a Latin text is told."""
     none = F.lit("")
-    latin = evidence.where("kind = 'label'").groupBy("lang", "a").agg(F.sum("n").alias("plain"))
+    latin = evidence.where("kind = 'label'").where(F.col("a").rlike(r"^\p{IsLatin}+$")).groupBy("lang", "a").agg(F.sum("n").alias("plain"))
     size = latin.groupBy("lang").agg(F.sum("plain").alias("size"))
     top = Window.partitionBy("lang").orderBy(F.col("plain").desc(), "a")
     frequent = latin.withColumn("k", F.row_number().over(top)).where(F.col("k") <= TELLING_WORDS).select("a").distinct()
@@ -439,6 +501,10 @@ def model_of(rows: list) -> Model:
             model.words.setdefault(a, []).append((lang, weight))
         elif what == "unseen":
             model.unseen[lang] = weight
+        elif what == "starter":
+            model.starters.add((lang, a))
+    # a word's weight over that of an unseen one: a text's score is a sum over the words it has
+    model.words = {w: [(c, x - model.unseen[c]) for c, x in known if c in model.unseen] for w, known in model.words.items()}
     return model
 
 

@@ -192,6 +192,15 @@ def taught():
     return m
 
 
+def test_sentence_starters_end_a_sentence_after_an_abbreviation():
+    m = taught()
+    text = "He came at 5 p.m. Low won. It was No. 5. See Mr. Low. As seen by Dr. The end. By J. The end. By A. B. Low."
+    before = [text[a:b] for a, b in S.sentence_spans(text, "en", m)]
+    m.starters |= {("en", "the"), ("en", "a")}
+    after = [text[a:b] for a, b in S.sentence_spans(text, "en", m)]
+    assert "As seen by Dr. The end." in before and "As seen by Dr." in after and "By J." in after and "By A. B. Low." in after
+
+
 CASES = [
     ("en", "Mr. Low won 5.3 points. He left at 2 p.m. The end", ["Mr. Low won 5.3 points.", "He left at 2 p.m.", "The end"]),
     ("en", "Now No. 5. Was it? Yes!", ["Now No. 5.", "Was it?", "Yes!"]),
