@@ -43,11 +43,6 @@ def name_key(column: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(F.regexp_replace(plain, "[.,'\"-]", " "), r"\s+", " ")), F.lit(""))
 
 
-def name_key_ascii(column: Column) -> Column:
-    """name_key for names known to be ASCII: stays in the JVM."""
-    return F.coalesce(F.trim(F.regexp_replace(F.regexp_replace(F.lower(column), "[.,'\"-]", " "), r"\s+", " ")), F.lit(""))
-
-
 def side_name(column: Column) -> Column:
     """Names as feeds spell them: lower, hyphens as spaces, single spaces; accents stay."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(column)), "-", " "), r"\s+", " "))
@@ -182,3 +177,45 @@ def url_key(url: Column) -> Column:
 def round_rank(label: Column) -> Column:
     """Order of a round's label, qualifying below zero; null (never 0) where the label is unknown."""
     return lookup(label, ROUND_RANK)
+
+
+# Tiers and names of fixtures, courts of the two feeds, sets that win by level.
+TIER_LEVELS = {"Grand Slam": "Slam", "ATP Masters 1000": "M1000", "ATP 500": "ATP500", "ATP 250": "ATP250", "WTA Masters 1000": "M1000", "WTA 1000": "M1000", "WTA 500": "WTA500", "WTA 250": "WTA250", "Finals": "Finals", "Masters series": "M1000"}
+SLAM_NAMES = ["roland garros", "french open", "wimbledon", "australian open", "us open"]
+MAIN_TOUR, MAIN_TOUR_LEVEL = "Main tour", {"ATP": "ATP500", "WTA": "WTA500"}
+LOADED_COURTS = {"I.hard": "Hard"}
+LIVE_COURTS = {"I.hard": "IHard", "i.hard": "IHard", "I.Hard": "IHard"}
+
+
+def tier_level(tier: Column, event: Column, tour: Column) -> Column:
+    """Event level of a fixture: by its tier, else by a name that only the greatest events have, else the usual one of the tour's main tier; null elsewhere."""
+    slam = reduce(lambda a, b: a | b, [F.coalesce(F.lower(event).contains(n), F.lit(False)) for n in SLAM_NAMES])
+    return F.coalesce(lookup(tier, TIER_LEVELS), F.when(slam, F.lit("Slam")), F.when(tier == MAIN_TOUR, lookup(tour, MAIN_TOUR_LEVEL)))
+
+
+def best_of_default(tour: Column, canonical_level: Column) -> Column:
+    """Sets a contest is played over where the source doesn't say: five at men's greatest events, else three; null without a level."""
+    return F.when(canonical_level.isNull(), F.lit(None).cast("int")).when((tour == "ATP") & (canonical_level == "Slam"), 5).otherwise(3)
+
+
+def court(raw: Column, names: Mapping[str, str]) -> Column:
+    """A feed's court name as a surface; unknown names pass through."""
+    return F.coalesce(lookup(raw, names), raw)
+
+
+def shown_time(utc: Column, zone: str, pattern: str = "yyyy-MM-dd HH:mm z") -> Column:
+    """A UTC time on the clock of a zone, with the zone's abbreviation of that date. The session's zone must be UTC."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    offset = F.timestamp_diff("MINUTE", utc, local)
+    names = F.lit("UTC") if zone == "UTC" else reduce(lambda acc, kv: acc.when(offset == kv[1], kv[0]), ZONE_NAMES[zone].items(), F.when(F.lit(False), ""))
+    return F.concat(F.date_format(local, pattern.replace(" z", "")), F.lit(" "), names)
+
+
+#: Fixed: abbreviations by minutes from UTC.
+ZONE_NAMES = {"Europe/Berlin": {"CET": 60, "CEST": 120}, "Europe/London": {"GMT": 0, "BST": 60}, "America/New_York": {"EST": -300, "EDT": -240}, "Asia/Tokyo": {"JST": 540}}
+
+
+def on_court(day: Column, start: Column) -> Column:
+    """The time play starts: the stated one, unless it only marks the day; else that of the day, unless that is such a mark too."""
+    real = lambda c: F.when(c.isNotNull() & ~is_noon(c), c)
+    return F.coalesce(real(start), real(day), start, day)

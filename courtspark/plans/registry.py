@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from courtspark.plans import evaluation, general, relational, replay, scalars, writes
+from courtspark.plans import evaluation, general, relational, replay, scalars, state, writes
 
-MODULES = [general, replay, relational, scalars, writes, evaluation]
+MODULES = [general, replay, relational, scalars, writes, state, evaluation]
 
 
 def queries() -> dict:

@@ -77,7 +77,7 @@ def _(s, d):
     return o.where(F.col("rich").isNotNull() | F.lower(F.trim("o_orderpriority")).isin("1-urgent")).select("o_orderkey").distinct()
 
 
-@query("ref_f13_f15_freshness", "select event_id, event_type from events where event_type <> 'view' and ts >= timestamp '2024-01-29 00:00:00' - interval 24 hours and ts <= timestamp '2024-01-29 00:00:00'")
+@query("ref_f15_freshness", "select event_id, event_type from events where event_type <> 'view' and ts >= timestamp '2024-01-29 00:00:00' - interval 24 hours and ts <= timestamp '2024-01-29 00:00:00'")
 def _(s, d):
     e = table(s, d, "events")
     now = F.to_timestamp_ntz(F.lit("2024-01-29 00:00:00"))

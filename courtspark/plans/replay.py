@@ -155,6 +155,20 @@ e as (select tour, surface, cast(0 as bigint) as k, cast(null as varchar) as mat
 union all select tour, surface, k, match_id, x, y, map_concat(r, map([w, l], [x + 32 * (1 - 1 / (1 + pow(10, (y - x) / 400))), y - 32 * (1 - 1 / (1 + pow(10, (y - x) / 400)))])) from
 (select o.*, e.r, coalesce(e.r[o.w], 1500) as x, coalesce(e.r[o.l], 1500) as y from e join o on o.tour = e.tour and o.surface = e.surface and o.k = e.k + 1))"""
 
+_AT = "p.tourney_date, p.tourney_id nulls first, p.match_num nulls first, p.match_id"
+_DAY = ["win_pct_last10", "fatigue_matches_7d", "fatigue_sets_14d", "days_since_last_match"]
+_DAY_HERE = ["win_pct_last25_surface", "first_serve_win_pct", "second_serve_win_pct", "bp_saved_pct", "bp_converted_pct", "days_since_last_match_surface"]
+# what holds strictly before a day is what the day's first contest of that state sees
+AS_OF = f"""{ELO_STEPS}, {P}, {Q}, f as ({FORM}), s as ({SERVE}), l as ({LOAD}), r as ({REST}), k as ({RANK}), t as ({TRAITS}), h as ({H2H}),
+eb as (select e.match_id, o.w as player_id, e.wb as elo from e join o using (match_id) where e.k > 0 union all select e.match_id, o.l, e.lb from e join o using (match_id) where e.k > 0),
+a as (select p.match_id, p.player_id, {', '.join(f'first_value({x}) over d as {x}' for x in _DAY)}, {', '.join(f'first_value({x}) over ds as {x}' for x in _DAY_HERE)}, k.rank, t.hand, t.age, t.age_vs_peak, t.height, round(first_value(eb.elo) over es, 9) as elo
+ from p join f using (match_id, player_id) join s using (match_id, player_id) join l using (match_id, player_id) join r using (match_id, player_id) join k using (match_id, player_id) join t using (match_id, player_id) join eb using (match_id, player_id)
+ window d as (partition by p.player_id, p.tourney_date order by {_AT}), ds as (partition by p.player_id, p.surface, p.tourney_date order by {_AT}), es as (partition by p.player_id, p.tour, p.surface, p.tourney_date order by {_AT})),
+g as (select c.match_id, first_value(h2h_p1_wins) over x as h2h_p1_wins, first_value(h2h_p2_wins) over x as h2h_p2_wins, first_value(h2h_recency_days) over x as h2h_recency_days, p1, p2 from h join c using (match_id) window x as (partition by p1, p2, c.tourney_date order by {_AT.replace('p.', 'c.')}))
+select c.match_id, c.tour, c.tourney_date, c.level, c.best_of, c.surface, g.p1, g.p2, g.h2h_p1_wins, g.h2h_p2_wins, g.h2h_recency_days, {', '.join(f'{s}.{x} as {x}_{n}' for n, s in (('p1', 'x'), ('p2', 'y')) for x in [*_FACTS, 'elo'])},
+x.rank - y.rank as rank_diff, x.height - y.height as height_diff_cm, round(x.elo - y.elo, 9) as elo_diff_surface, x.elo as elo_p1_surface, y.elo as elo_p2_surface
+from c join g using (match_id) join a x on x.match_id = c.match_id and x.player_id = g.p1 join a y on y.match_id = c.match_id and y.player_id = g.p2 where c.label_open"""
+
 ORACLE = {
     "ref_u1_unpivot": f"{W} select player_id, surface, count(*) as played, cast(sum(won) as bigint) as won, cast(sum(cast(rich as integer)) as bigint) as with_stats from p group by 1, 2",
     "ref_f1_f2_gates": f"with {C} select match_id, surface, level, label_open, sets from c",
@@ -170,4 +184,6 @@ ORACLE = {
 u as (select tour, surface, unnest(map_keys(r)) as player_id, unnest(map_values(r)) as rating from last), n as (select tour, surface, x as player_id, count(*) as matches_played, max(tourney_date) as last_updated from (select tour, surface, tourney_date, unnest([winner_player_id, loser_player_id]) as x from c) group by 1, 2, 3)
 select tour, surface, player_id, round(rating, 6) as rating, matches_played, last_updated from u join n using (tour, surface, player_id)""",
     "ref_w13_windows": VECTOR,
+    "ref_w13_features": f"""{ELO_STEPS}, v as ({VECTOR.replace(f"with {C}, ", "with ", 1)}) select v.*, round(case when o.w = p1 then wb else lb end, 9) as elo_p1_surface, round(case when o.w = p1 then lb else wb end, 9) as elo_p2_surface, round(case when o.w = p1 then wb - lb else lb - wb end, 9) as elo_diff_surface from v join e using (match_id) join o using (match_id)""",
+    "ref_w14_features_as_of": AS_OF,
 }

@@ -40,11 +40,6 @@ def _(s, d):
     return table(s, d, "aggregated_odds").select("event_id", N.side_name(F.col("player_a_name")).alias("side_name"))
 
 
-@query("ref_x6_best_of_default", f"select match_id, case when tour = 'ATP' and tourney_level = 'G' then 5 else 3 end as best_of_default from {LATEST}")
-def _(s, d):
-    return _m(s, d, "tour", "tourney_level").select("match_id", F.when((F.col("tour") == "ATP") & (F.col("tourney_level") == "G"), 5).otherwise(3).alias("best_of_default"))
-
-
 @query(
     "ref_x7_x15_status",
     f"select match_id, case when score is null or score = '' then 'unknown' when contains(score, 'RET') then 'RET' when contains(score, 'W/O') then 'W/O' when contains(score, 'DEF') then 'DEF' else 'completed' end as status, case when contains(lower(coalesce(score, '')), 'ret') then 'RET' when contains(lower(coalesce(score, '')), 'walkover') or contains(' ' || lower(coalesce(score, '')), ' w/o') then 'WO' when contains(lower(coalesce(score, '')), 'def') then 'DEF' else 'W' end as completion from {LATEST}",
@@ -89,7 +84,7 @@ def _(s, d):
     return table(s, d, "aggregated_odds").withColumn("p", N.odds_pair(text)).select("event_id", F.col("p.low").alias("low"), F.col("p.high").alias("high")).distinct()
 
 
-@query("ref_x16_x17_time_zones", "select event_id, commence_time_utc - interval 3 hours as utc, strftime(commence_time_utc - interval 3 hours, '%Y-%m-%d %H:%M') || ' UTC' as shown from aggregated_odds")
+@query("ref_x16_time_zones", "select event_id, commence_time_utc - interval 3 hours as utc, strftime(commence_time_utc - interval 3 hours, '%Y-%m-%d %H:%M') || ' UTC' as shown from aggregated_odds")
 def _(s, d):
     utc = N.naive_utc(F.col("commence_time_utc"), "Europe/Moscow")
     return table(s, d, "aggregated_odds").select("event_id", utc.alias("utc"), F.concat(F.date_format(utc, "yyyy-MM-dd HH:mm"), F.lit(" UTC")).alias("shown"))
@@ -101,11 +96,6 @@ def _(s, d):
     return table(s, d, "events").select("event_id", F.round(e, 9).alias("expected"), F.round((e - 0.5) * 100, 7).alias("gap_pp"))
 
 
-@query("ref_x20_noon", "select event_id, (hour(commence_time_utc) = 12 and minute(commence_time_utc) = 0 and second(commence_time_utc) = 0) as day_only from aggregated_odds where commence_time_utc is not null")
-def _(s, d):
-    return table(s, d, "aggregated_odds").where("commence_time_utc is not null").select("event_id", N.is_noon(F.col("commence_time_utc")).alias("day_only"))
-
-
 @query("ref_x21_x25_lenient_casts", "select match_id, try_cast(substr(trim(tourney_id), 1, 4) as integer) as y, try_strptime(trim(substr(tourney_id, 1, 10)), '%Y-%m-%d')::date as day, cast(round(try_cast(substr(score, 1, 1) || '.4' as double)) as integer) as first_games, try_strptime(strftime(tourney_date, '%Y%m%d'), '%Y%m%d')::date as day8 from " + LATEST)
 def _(s, d):
     m = _m(s, d, "tourney_id", "score", "tourney_date")
@@ -122,11 +112,6 @@ def _(s, d):
     return table(s, d, "players").select("record_id", F.coalesce(N.shown(F.col("full_name"), F.col("name_last")), F.col("player_id")).alias("shown"))
 
 
-@query("ref_x26_call_cost", "select event_id, round(value * 3.0 / 1000000 + user_id * 15.0 / 1000000 + 0.01, 6) as cost from events")
-def _(s, d):
-    return table(s, d, "events").select("event_id", F.round(F.col("value") * F.lit(3.0) / 1000000 + F.col("user_id") * F.lit(15.0) / 1000000 + F.lit(0.01), 6).alias("cost"))
-
-
 @query("ref_x27_x32_json", "select event_id, json_extract_string(props, '$.page') as page, coalesce(json_extract_string(props, '$.countryAcr'), json_extract_string(props, '$.coutryAcr')) as country, json_valid(props) as valid from events")
 def _(s, d):
     e = table(s, d, "events")
@@ -144,16 +129,3 @@ def _(s, d):
     u = table(s, d, "documents").where("lang is not null and source is not null").select("source", "lang").distinct()
     url = F.concat(F.lit("https://WWW."), F.col("source"), F.lit(".org/a/"), F.col("lang"), F.lit("//"))
     return u.select("source", "lang", N.url_key(url).alias("url_key"))
-
-
-@query("ref_x31_court_map", f"select match_id, coalesce({_case('surface', {'I.hard': 'IHard', 'Carpet': 'IHard', 'hard': 'Hard', 'clay': 'Clay'})}, surface) as court from {LATEST}")
-def _(s, d):
-    return _m(s, d, "surface").select("match_id", F.coalesce(N.lookup(F.col("surface"), {"I.hard": "IHard", "Carpet": "IHard", "hard": "Hard", "clay": "Clay"}), "surface").alias("court"))
-
-
-@query("ref_x33_orientation", f"select match_id, least(winner_player_id, loser_player_id) as a, case when winner_player_id <= loser_player_id then w_ace else l_ace end as a_aces, case when winner_player_id <= loser_player_id then l_ace else w_ace end as b_aces, (winner_player_id <= loser_player_id) as a_won from {LATEST} where winner_player_id is not null and loser_player_id is not null")
-def _(s, d):
-    m = _m(s, d, "winner_player_id", "loser_player_id", "w_ace", "l_ace").where("winner_player_id is not null and loser_player_id is not null")
-    first = F.col("winner_player_id") <= F.col("loser_player_id")
-    side = F.when(first, F.struct(F.col("w_ace").alias("a"), F.col("l_ace").alias("b"))).otherwise(F.struct(F.col("l_ace").alias("a"), F.col("w_ace").alias("b")))
-    return m.select("match_id", F.least("winner_player_id", "loser_player_id").alias("a"), side["a"].alias("a_aces"), side["b"].alias("b_aces"), first.alias("a_won"))

@@ -56,45 +56,9 @@ def _(s, d):
     return out.select("user_id", "event_type", "event_id", "value")
 
 
-@query("ref_d4_additive", "select user_id, count(*) as calls from events group by 1")
-def _(s, d):
-    return table(s, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("calls"))
-
-
-@query("ref_d5_ttl_cache", "select user_id, event_id from (select * from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) where ts >= timestamp '2024-01-30' - interval 24 hours")
-def _(s, d):
-    e = K.latest_by_key(table(s, d, "events").select("user_id", "event_id", "ts"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()])
-    return e.where("ts >= timestamp_ntz'2024-01-30' - interval 24 hours").select("user_id", "event_id")
-
-
-@query("ref_d6_run_log", "select user_id, min(ts) as opened, max(ts) as closed, case when max(value) > 99 then 'failed' when max(value) > 95 then 'partial' else 'success' end as status from events group by 1")
-def _(s, d):
-    top = F.max("value")
-    return table(s, d, "events").groupBy("user_id").agg(F.min("ts").alias("opened"), F.max("ts").alias("closed"), F.when(top > 99, "failed").when(top > 95, "partial").otherwise("success").alias("status"))
-
-
 _MAP = "(select stale, min(canonical) as canonical from (select greatest(upper(trim(canonical_player_id)), upper(trim(stale_player_id))) as stale, least(upper(trim(canonical_player_id)), upper(trim(stale_player_id))) as canonical from duplicate_review where lower(trim(verdict)) in ('y', 'yes', 'approved')) where stale <> canonical group by 1)"
 
 
-@query(
-    "ref_d7_repoint",
-    f"with recursive m as {_MAP}, r as (select stale, canonical from m union select r.stale, m.canonical from r join m on m.stale = r.canonical), t as (select stale, min(canonical) as canonical from r group by 1) select coalesce(a.canonical, winner_player_id) as winner, coalesce(b.canonical, loser_player_id) as loser, count(*) as n from {LATEST} left join t a on a.stale = winner_player_id left join t b on b.stale = loser_player_id group by 1, 2",
-)
-def _(s, d):
-    ids = [F.upper(F.trim(c)) for c in ("canonical_player_id", "stale_player_id")]
-    approved = table(s, d, "duplicate_review").where(F.lower(F.trim("verdict")).isin("y", "yes", "approved"))
-    closed = R.close_chains(approved.select(F.greatest(*ids).alias("stale"), F.least(*ids).alias("canonical")))
-    m = matches_latest(s, d, ["winner_player_id", "loser_player_id"])
-    out = R.repoint(m, ["winner_player_id", "loser_player_id"], closed)
-    return out.groupBy(F.col("winner_player_id").alias("winner"), F.col("loser_player_id").alias("loser")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("ref_d8_completed_prune", f"select event_id from aggregated_odds o where not exists (select 1 from {LATEST} m where m.tour = o.tour and m.tourney_date = cast(o.commence_time_utc as date) and m.match_status = 'completed')")
-def _(s, d):
-    done = matches_latest(s, d, ["tour", "tourney_date", "match_status"]).where("match_status = 'completed'").select("tour", F.col("tourney_date").alias("day")).distinct()
-    return table(s, d, "aggregated_odds").withColumn("day", F.to_date("commence_time_utc")).join(done, ["tour", "day"], "left_anti").select("event_id")
-
-
 @query("ref_d9_accounting", f"with s as {_STORED} select case when s.user_id is null then 'added' else 'skipped' end as outcome, count(*) as n from {_NEW} e left join s on s.user_id = e.user_id and s.event_type = e.event_type group by 1")
 def _(s, d):
     stored, new = _events(s, d)
@@ -121,12 +85,6 @@ def _(s, d):
     return files.violations(rules)
 
 
-@query("ref_d15_formats", "select count(*) filter (where 1 = 1) as n, 'paired' as format from duplicate_review")
-def _(s, d):
-    r = table(s, d, "duplicate_review")
-    return r.agg(F.count(F.lit(1)).alias("n"), F.lit(files.review_format(r.columns)).alias("format"))
-
-
 @query("ref_d16_orientation", f"select match_id, case when winner_player_id is null then 'skipped' when winner_player_id not in (select player_id from players where player_id is not null) then 'failed' else 'added' end as outcome from {LATEST}")
 def _(s, d):
     known = table(s, d, "players").where("player_id is not null").select(F.col("player_id").alias("winner_player_id"), F.lit(True).alias("known")).distinct()
@@ -134,19 +92,6 @@ def _(s, d):
     return m.select("match_id", F.when(F.col("winner_player_id").isNull(), "skipped").when(F.col("known").isNull(), "failed").otherwise("added").alias("outcome"))
 
 
-@query("ref_s1_s4_csv_round_trip", "select count(*) as n, count(distinct c_custkey) as ids, round(sum(c_acctbal), 2) as total from customer")
-def _(s, d):
-    c = table(s, d, "customer")
-    back = files.csv_typed(s, files.write_csv(c), c.schema)
-    return back.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c_custkey").alias("ids"), F.round(F.sum("c_acctbal"), 2).alias("total"))
-
-
-@query("ref_s7_json_source", "select count(*) as n, count(json_extract_string(props, '$.page')) as pages from events")
-def _(s, d):
-    parsed = files.json_text(table(s, d, "events"), "props", "page string, ref string")
-    return parsed.agg(F.count(F.lit(1)).alias("n"), F.count("parsed.page").alias("pages"))
-
-
 @query("ref_s13_s14_snapshot", "select user_id, max(event_id) as event_id from events group by 1")
 def _(s, d):
     snap = table(s, d, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"))

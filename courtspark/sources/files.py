@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -12,6 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from courtspark.functions import normalize as N
 from courtspark.operators.keyed import latest_by_key
+from courtspark.operators.ranks import distributed_rank
 from courtspark.session import folder, remove, scratch
 
 #: Fixed: the first bytes of a zip archive (workbooks are zip archives).
@@ -21,7 +23,7 @@ SERVE_CSV = {"ace": "ace", "df": "df", "svpt": "svpt", "1stIn": "first_in", "1st
 
 def write_csv(df: DataFrame, path: str | None = None, mode: str = "overwrite") -> str:
     path = path or scratch(df.sparkSession)
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return path
 
 
@@ -67,6 +69,63 @@ def json_text(df: DataFrame, column: str, schema: str) -> DataFrame:
     return df.withColumn("parsed", F.from_json(column, schema, {"mode": "PERMISSIVE"}))
 
 
+_SIDE = "struct<id: string, name: string, countryAcr: string, coutryAcr: string>"
+_TOURNAMENT = "struct<id: string, name: string, date: string, court: struct<name: string>, rank: struct<name: string>, tier: string>"
+_CONTEST = f"id string, date string, timeGame string, player1Id string, player2Id string, player1: {_SIDE}, player2: {_SIDE}, round: struct<name: string>, tournament: {_TOURNAMENT}, result: string, match_winner: int, odd1: string, odd2: string".replace(": struct", " struct").replace("result: ", "result ").replace("match_winner: ", "match_winner ").replace("odd1: ", "odd1 ").replace("odd2: ", "odd2 ")
+#: Fields read of each feed; all ids as text, as feeds write them as numbers or text.
+FEEDS = {
+    "calendar": f"id string, name string, date string, tier string, court struct<name: string>, rank struct<name: string>, {'countryAcr string, coutryAcr string'}",
+    "fixtures": _CONTEST, "tournament_fixtures": _CONTEST, "results": _CONTEST, "past_matches": _CONTEST, "head_to_head": _CONTEST,
+    "rankings": f"id string, name string, position int, point int, date string, player {_SIDE}",
+}
+
+
+def feed_rows(pages: DataFrame, body: str, feed: str) -> DataFrame:
+    """One row per entry of the pages' `data` lists: unknown fields are dropped, missing ones null, broken pages give no rows."""
+    schema = f"data array<struct<{', '.join(_as_field(f) for f in _fields(FEEDS[feed]))}>>, hasNextPage boolean"
+    rows = pages.select(F.from_json(body, schema, {"mode": "PERMISSIVE"}).alias("p")).select(F.explode("p.data").alias("e")).select("e.*")
+    if "coutryAcr" in rows.columns:  # the feed's own slip of the pen
+        rows = rows.withColumn("countryAcr", F.coalesce("countryAcr", "coutryAcr")).drop("coutryAcr")
+    return rows
+
+
+def _fields(ddl: str) -> list[str]:
+    out, depth = [""], 0
+    for c in ddl:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [f.strip() for f in out]
+
+
+def _as_field(field: str) -> str:
+    name, kind = field.split(" ", 1)
+    return f"{name}: {kind}"
+
+
+def land_pages(spark: SparkSession, fetch: Callable[[int], dict], path: str, most: int = 100) -> DataFrame:
+    """(body) of the pages `fetch` gives from 1 on, until one says there is no next or `most` are read; each is written before the next is asked for."""
+    for page in range(1, most + 1):
+        got = fetch(page)
+        spark.createDataFrame([(json.dumps(got),)], "body string").coalesce(1).write.mode("append").text(path)
+        if not got.get("hasNextPage"):
+            break
+    return spark.read.schema("body string").text(path)
+
+
+def numbered_rows(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """`df` with `position` from 1 on under `order`, for work in chunks; rows stay distributed."""
+    return distributed_rank(df.withColumn("_all", F.lit(1)), ["_all"], order).drop("_all")
+
+
+def truncate(snapshot: Snapshot) -> tuple[int, Snapshot]:
+    """(rows removed, the table, now empty): an empty version is published, the old one stays until it is vacuumed."""
+    held = snapshot.read()
+    return held.count(), publish(held.limit(0), snapshot.root, snapshot.name)
+
+
 ODDS_EVENT = "id string, sport_key string, commence_time string, home_team string, away_team string, bookmakers array<struct<key: string, title: string, markets: array<struct<key: string, outcomes: array<struct<name: string, price: double>>>>>>"
 
 
