@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtspark.functions import normalize as N
 from courtspark.operators.asof import latest_before
 from courtspark.operators.elo import elo_replay
 from courtspark.operators.windows import calendar, last_n, less_earlier, running
-from courtspark.session import cut
+from courtspark.session import cut, stored
 
 SERVE = ["first_in", "first_won", "second_won", "svpt", "bp_saved", "bp_faced"]
 ORDER = ["tourney_id", "match_num", "match_id"]
@@ -101,6 +101,50 @@ def player_state(players: DataFrame) -> DataFrame:
     return a.join(b, ["match_id", "player_id"])
 
 
+#: Contests of one player up to which all its windows are taken in one group; beyond, states are laid out by time shards.
+MOST = 200_000
+
+
+def _largest(players: DataFrame) -> int:
+    return players.groupBy("player_id").count().agg(F.max("count")).first()[0] or 0
+
+
+def player_facts(players: DataFrame, rankings: DataFrame, most: int = MOST) -> DataFrame:
+    """All families of one player that depend on order: form, serve and return, rest, load and rank as of the day, by (match_id, player_id).
+
+    The largest player's contests are counted first. Up to `most` of them every window is taken within the player, all
+    from one shuffle by player in which the rankings lie as rows of their own. Beyond, no group is in one task: running
+    totals per time shard, joined by position.
+    """
+    if _largest(players) > most:
+        return player_state(players).join(load(players), ["match_id", "player_id"]).join(ranks(_answers(players), rankings), ["match_id", "player_id"])
+    mark, counts, order = _fold(players)
+    cols = [*SERVE, "opp_bp_saved", "opp_bp_faced"]
+    base = players.select("match_id", "player_id", "surface", "tourney_date", *ORDER[:2], *mark, "won", "sets", counts.cast("int").alias("one"), F.col("rich").cast("int").alias("rich"), *[F.when(F.col("rich"), F.col(c)).otherwise(0).alias(f"c_{c}") for c in cols], F.lit(1).alias("side"))
+    listed = rankings.where("rank is not null and player_id is not null and ranking_date is not null").select("player_id", F.col("ranking_date").alias("tourney_date"), F.struct(F.col("ranking_date").alias("day"), (-F.col("rank")).alias("rank")).alias("listed"), F.lit(0).alias("side"))
+    own, here = ["player_id"], ["player_id", "surface"]
+    upto = Window.partitionBy(*own).orderBy("tourney_date", "side").rowsBetween(Window.unboundedPreceding, 0)
+    rows = base.unionByName(listed, allowMissingColumns=True).withColumn("at", F.max("listed").over(upto)).where("side = 1").drop("listed", "side")
+    rows = rows.withColumn("day", F.unix_date("tourney_date"))
+    before = lambda keys: Window.partitionBy(*keys).orderBy("tourney_date", *order).rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c, keys: F.coalesce(F.sum(c).over(before(keys)), F.lit(0)).cast("long")
+    met = F.when(F.col("one") == 1, F.col("tourney_date"))
+    rows = rows.withColumns({"k": total("one", own), "last_day": F.max(met).over(before(own)), "ks": total("one", here), "r": total("rich", here), "last_here": F.max(met).over(before(here))})
+    # by position: rows that change no state share the position of the contest after them and are no part of any window
+    last = lambda keys, position, n: Window.partitionBy(*keys).orderBy(position).rangeBetween(-n, -1)
+    rest_of_day = Window.partitionBy(*own, "day").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    days = lambda c, n: F.coalesce(F.sum(c).over(Window.partitionBy(*own).orderBy("day").rangeBetween(-n, 0)) - F.sum(c).over(rest_of_day), F.lit(0)).cast("long")
+    rows = rows.withColumns({"w10": F.sum("won").over(last(own, "k", FORM)), "w25": F.sum("won").over(last(here, "ks", FORM_SURFACE)), "fatigue_matches_7d": days("one", 7), "fatigue_sets_14d": days("sets", 14), **{c: F.sum(f"c_{c}").over(last(here, "r", SERVE_WINDOW)) for c in cols}})
+    since = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0), F.least(F.lit(CAP), F.date_diff("tourney_date", F.col(c)))))
+    share = lambda x, y: F.when((F.col("r") >= SERVE_LEAST) & (y > 0), F.try_divide(x, y))
+    rate = lambda wins, n, most_: F.when(F.col(n) >= FORM_LEAST, F.col(wins) / F.least(F.col(n), F.lit(most_)))
+    return _answers(rows).select(
+        "match_id", "player_id", rate("w10", "k", FORM).alias("win_pct_last10"), F.col("k").alias("prior_matches"), since("last_day").alias("days_since_last_match"), rate("w25", "ks", FORM_SURFACE).alias("win_pct_last25_surface"), since("last_here").alias("days_since_last_match_surface"),
+        share(F.col("first_won"), F.col("first_in")).alias("first_serve_win_pct"), share(F.col("second_won"), F.col("svpt") - F.col("first_in")).alias("second_serve_win_pct"), share(F.col("bp_saved"), F.col("bp_faced")).alias("bp_saved_pct"), share(F.col("opp_bp_faced") - F.col("opp_bp_saved"), F.col("opp_bp_faced")).alias("bp_converted_pct"),
+        "fatigue_matches_7d", "fatigue_sets_14d", F.coalesce(-F.col("at.rank"), F.lit(UNRANKED)).alias("rank"),
+    )
+
+
 def load(players: DataFrame) -> DataFrame:
     """Contests in the last 7 days and sets in the last 14, rows of the same day before this one included."""
     mark, counts, order = _fold(players)
@@ -118,11 +162,16 @@ def rest(players: DataFrame) -> DataFrame:
     return a.select("match_id", "player_id", since("last_day").alias("days_since_last_match")).join(b.select("match_id", "player_id", since("last_day").alias("days_since_last_match_surface")), ["match_id", "player_id"])
 
 
-def head_to_head(rows: DataFrame) -> DataFrame:
-    """Per contest, before it: wins of the smaller id p1, of p2, and days since they last met."""
+def head_to_head(rows: DataFrame, most: int = 0) -> DataFrame:
+    """Per contest, before it: wins of the smaller id p1, of p2, and days since they last met. Pairs with at most `most` meetings each (counted) need one shuffle, else states are laid out by time shards."""
     mark, counts, order = _fold(rows)
     base = rows.select("match_id", "tourney_date", *ORDER[:2], *mark, counts.alias("counts"), F.least("winner_player_id", "loser_player_id").alias("p1"), F.greatest("winner_player_id", "loser_player_id").alias("p2"), (F.col("winner_player_id") <= F.col("loser_player_id")).cast("int").alias("p1_won"))
-    out = running(base, ["p1", "p2"], "tourney_date", order, {"h2h_p1_wins": ("sum", F.when(F.col("counts"), F.col("p1_won")).otherwise(0)), "h2h_p2_wins": ("sum", F.when(F.col("counts"), 1 - F.col("p1_won")).otherwise(0)), "met": ("max", F.when(F.col("counts"), F.col("tourney_date")))})
+    values = {"h2h_p1_wins": ("sum", F.when(F.col("counts"), F.col("p1_won")).otherwise(0)), "h2h_p2_wins": ("sum", F.when(F.col("counts"), 1 - F.col("p1_won")).otherwise(0)), "met": ("max", F.when(F.col("counts"), F.col("tourney_date")))}
+    if most and base.groupBy("p1", "p2").count().where(F.col("count") > most).isEmpty():
+        before = Window.partitionBy("p1", "p2").orderBy("tourney_date", *order).rowsBetween(Window.unboundedPreceding, -1)
+        out = base.withColumns({n: F.max(v).over(before) if kind == "max" else F.coalesce(F.sum(v).over(before), F.lit(0)) for n, (kind, v) in values.items()})
+    else:
+        out = running(base, ["p1", "p2"], "tourney_date", order, values)
     return _answers(out).select("match_id", "p1", "p2", F.col("h2h_p1_wins").cast("long").alias("h2h_p1_wins"), F.col("h2h_p2_wins").cast("long").alias("h2h_p2_wins"), F.date_diff("tourney_date", "met").alias("h2h_recency_days"))
 
 
@@ -146,22 +195,28 @@ def elo(rows: DataFrame) -> DataFrame:
     return elo_replay(rows, ["tour", "surface"], ["tourney_date", *ORDER], "winner_player_id", "loser_player_id", "match_id")
 
 
-def feature_vectors(matches: DataFrame, rankings: DataFrame, roster: DataFrame, with_elo: bool = True) -> DataFrame:
+def _both_sides(sides: DataFrame) -> DataFrame:
+    """One row per match: every fact of the smaller id as <fact>_p1, of the greater as <fact>_p2, in one shuffle by match."""
+    facts = [c for c in sides.columns if c not in ("match_id", "player_id")]
+    both = sides.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct("player_id", *facts))).alias("s"))
+    return both.where("size(s) = 2").select("match_id", *[F.col("s")[i][c].alias(f"{c}_p{i + 1}") for i in (0, 1) for c in facts])
+
+
+def _traits_of(players: DataFrame, roster: DataFrame) -> DataFrame:
+    return traits(_answers(players), roster)
+
+
+def feature_vectors(matches: DataFrame, rankings: DataFrame, roster: DataFrame, with_elo: bool = True, most: int = MOST) -> DataFrame:
     """One row per contest that passes the label gate: 41 features (38 without ratings), ids and the label p1_won.
 
-    Contests that fail the gate still feed every state. p1 is the smaller id. All families meet on (match_id,
-    player_id), so what is joined is already laid out by contest.
+    Contests that fail the gate still feed every state. p1 is the smaller id. Contests are written once; from there
+    on it is one shuffle by player, one by pair, one by ladder and one by contest.
     """
-    rows = cut(contests(matches))
-    players = cut(player_rows(rows))
-    sides = player_state(players)
-    for family in (load(players), ranks(players, rankings), traits(players, roster)):
-        sides = sides.join(family, ["match_id", "player_id"])
-    sides = cut(sides)
-    facts = [c for c in sides.columns if c not in ("match_id", "player_id")]
-    base = rows.where("label_open").select("match_id", "tour", "tourney_date", "level", "best_of", "surface", "winner_player_id").join(head_to_head(rows), "match_id")
-    one = lambda s: sides.select("match_id", F.col("player_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in facts])
-    out = base.join(one("p1"), ["match_id", "p1"]).join(one("p2"), ["match_id", "p2"]).where((F.col("prior_matches_p1") >= FLOOR) & (F.col("prior_matches_p2") >= FLOOR))
+    rows = stored(contests(matches))
+    players = player_rows(rows)
+    sides = player_facts(players, rankings, most).join(_traits_of(players, roster), ["match_id", "player_id"])
+    pairs = rows.where("label_open").select("match_id", "tour", "tourney_date", "level", "best_of", "surface", "winner_player_id", F.least("winner_player_id", "loser_player_id").alias("p1"))
+    out = pairs.join(_both_sides(sides), "match_id").join(head_to_head(rows, most).drop("p1"), "match_id").where((F.col("prior_matches_p1") >= FLOOR) & (F.col("prior_matches_p2") >= FLOOR))
     out = out.withColumn("rank_diff", F.col("rank_p1") - F.col("rank_p2")).withColumn("height_diff_cm", F.col("height_p1") - F.col("height_p2")).withColumn("label", (F.col("winner_player_id") == F.col("p1")).cast("int"))
     if with_elo:
         won = F.col("winner_player_id") == F.col("p1")
@@ -171,29 +226,26 @@ def feature_vectors(matches: DataFrame, rankings: DataFrame, roster: DataFrame,
     return out.drop("winner_player_id", "prior_matches_p1", "prior_matches_p2")
 
 
-def features_as_of(matches: DataFrame, rankings: DataFrame, roster: DataFrame, asked: DataFrame) -> DataFrame:
+def features_as_of(matches: DataFrame, rankings: DataFrame, roster: DataFrame, asked: DataFrame, most: int = MOST) -> DataFrame:
     """Vectors of contests yet to be played: asked has match_id, tour, surface, tourney_date, level, best_of, p1, p2 (p1 < p2).
 
     The same 41 features as feature_vectors, and the ratings as elo_p1 and elo_p2 too. Only contests strictly before the
     asked day count, whoever played them, so ratings come from the full history. Asked rows are laid before their day's
     contests as rows that change no state: each is folded with the contests before it.
     """
-    rows = contests(matches)
+    rows = stored(contests(matches))
     asked_ids = asked.select("match_id", "p1", "p2", "tour", "surface", "tourney_date", "level", "best_of")
     both = asked_ids.select("*", F.explode(F.array("p1", "p2")).alias("player_id"))
-    history = cut(player_rows(rows)).withColumn("ask", F.lit(0))
+    history = player_rows(rows).withColumn("ask", F.lit(0))
     neutral = {"won": F.lit(0), "sets": F.lit(0), "rich": F.lit(False), "ask": F.lit(1)}
-    given = ("match_id", "player_id", "surface", "tourney_date")
-    laid = cut(history.unionByName(both.select(*given, *[v.alias(c) for c, v in neutral.items()]), allowMissingColumns=True))
-    sides = player_state(laid).drop("prior_matches")
-    for family in (load(laid), ranks(both, rankings), traits(both, roster), ratings_as_of(rows, both)):
+    given = ("match_id", "player_id", "tour", "surface", "tourney_date")
+    laid = stored(history.unionByName(both.select(*given, *[v.alias(c) for c, v in neutral.items()]), allowMissingColumns=True))
+    sides = player_facts(laid, rankings, most).drop("prior_matches")
+    for family in (traits(both, roster), ratings_as_of(rows, both)):
         sides = sides.join(family, ["match_id", "player_id"])
-    sides = cut(sides)
     meetings = rows.select("match_id", "tourney_date", *ORDER[:2], "winner_player_id", "loser_player_id").withColumn("ask", F.lit(0))
     meetings = meetings.unionByName(asked_ids.select("match_id", "tourney_date", F.col("p1").alias("winner_player_id"), F.col("p2").alias("loser_player_id"), F.lit(1).alias("ask")), allowMissingColumns=True)
-    facts = [c for c in sides.columns if c not in ("match_id", "player_id")]
-    one = lambda s: sides.select("match_id", F.col("player_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in facts])
-    out = asked_ids.join(one("p1"), ["match_id", "p1"]).join(one("p2"), ["match_id", "p2"]).join(head_to_head(meetings), ["match_id", "p1", "p2"])
+    out = asked_ids.join(_both_sides(sides), "match_id").join(head_to_head(meetings, most).drop("p1", "p2"), "match_id")
     out = out.withColumns({f"{c}_diff{u}": F.col(f"{c}_p1") - F.col(f"{c}_p2") for c, u in (("rank", ""), ("height", "_cm"), ("elo", "_surface"))})
     return out.withColumns({"elo_p1_surface": F.col("elo_p1"), "elo_p2_surface": F.col("elo_p2")})
 
@@ -207,3 +259,11 @@ def ratings_as_of(rows: DataFrame, asked: DataFrame) -> DataFrame:
     marks = marks.select(key(F.col("e.player_id")).alias("ladder"), F.date_add("tourney_date", 1).alias("from_day"), F.coalesce("tourney_id", F.lit("")).alias("o1"), F.coalesce("match_num", F.lit(-1)).alias("o2"), F.col("match_id").alias("o3"), F.col("e.rating").alias("rating"))
     out = latest_before(asked.withColumn("ladder", key(F.col("player_id"))), marks, "ladder", "tourney_date", "from_day", ["rating"], ["o1", "o2", "o3"])
     return out.select("match_id", "player_id", F.coalesce("asof.rating", F.lit(1500.0)).alias("elo"))
+
+
+def elo_snapshot(rows: DataFrame) -> DataFrame:
+    """(tour, surface, player_id, rating, matches_played, last_updated) after the whole replay of the contests."""
+    after = elo(rows).join(rows.select("match_id", "tourney_date", "tourney_id", "match_num"), "match_id")
+    both = F.array(F.struct(F.col("winner_player_id").alias("player_id"), F.col("winner_after").alias("rating")), F.struct(F.col("loser_player_id").alias("player_id"), F.col("loser_after").alias("rating")))
+    long = after.select("tour", "surface", F.struct("tourney_date", "tourney_id", "match_num", "match_id").alias("at"), F.explode(both).alias("e"))
+    return long.groupBy("tour", "surface", F.col("e.player_id").alias("player_id")).agg(F.max_by("e.rating", "at").alias("rating"), F.count(F.lit(1)).alias("matches_played"), F.max("at.tourney_date").alias("last_updated"))

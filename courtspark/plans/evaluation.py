@@ -13,8 +13,8 @@ from courtspark.operators import keyed as K
 from courtspark.operators.asof import latest_before
 from courtspark.plans.relational import PM, _pm
 from courtspark.plans.replay import _LATEST as LATEST
-from courtspark.plans.replay import ELO_STEPS, _contests, _matches, _roster
-from courtspark.session import cut
+from courtspark.plans.replay import ELO_STEPS, VECTOR, _contests, _matches, _roster
+from courtspark.session import cut, stored
 from courtspark.sources import files
 from courtspark.sources.tables import matches_latest, table
 from courtspark.streaming import jobs
@@ -33,6 +33,8 @@ def query(name, sql=None):
     return keep
 
 
+_VECTORS = "with v as (" + VECTOR + ")"
+
 # predictions for the metrics: ratings before the contest, seen from the smaller id
 _PRED = f"""{ELO_STEPS}, pr as (select match_id, tourney_date, case when p1_won = 1 then wb - lb else lb - wb end as d, p1_won as y from (select e.match_id, e.wb, e.lb, c.tourney_date, case when c.winner_player_id < c.loser_player_id then 1 else 0 end as p1_won from e join c on c.match_id = e.match_id where e.k > 0)),
 q as (select match_id, tourney_date, year(tourney_date) as yr, y, d, round(1 / (1 + pow(10, -d / 400)), 9) as p, cast(abs(round(d * 3, 0)) as integer) as gap from pr)"""
@@ -70,7 +72,7 @@ def _(s, d):
     return _round(E.reliability(_predictions(s, d), "y", "p"))
 
 
-@query("ref_a15_m9_weighted_folds", f"{_PRED}, f as (select yr, count(*) as n, avg(pow(p - y, 2)) as brier from q group by 1) select round(sum(n * brier) / sum(n), 7) as brier, count(*) as folds from f")
+@query("ref_a15_weighted_folds", f"{_PRED}, f as (select yr, count(*) as n, avg(pow(p - y, 2)) as brier from q group by 1) select round(sum(n * brier) / sum(n), 7) as brier, count(*) as folds from f")
 def _(s, d):
     per = E.metrics(_predictions(s, d), "y", "p", ["yr"])
     return _round(per.agg(E.weighted_mean("brier", "n").alias("brier"), F.count(F.lit(1)).alias("folds")))
@@ -98,24 +100,74 @@ def _(s, d):
     return out.select("match_id", "p", F.round("calibrated", 9).alias("calibrated"))
 
 
-@query("ref_m5_m7_boosted_trees")
-def _(s, d):
-    cols = ["elo_diff_surface", "win_pct_last10_p1", "win_pct_last10_p2", "rank_diff", "h2h_p1_wins", "h2h_p2_wins", "age_p1", "age_p2"]
+_FEATURES = [f"{c}_{p}" for p in ("p1", "p2") for c in ("win_pct_last10", "win_pct_last25_surface", "first_serve_win_pct", "second_serve_win_pct", "bp_saved_pct", "bp_converted_pct", "fatigue_matches_7d", "fatigue_sets_14d", "days_since_last_match", "days_since_last_match_surface", "rank", "age", "age_vs_peak", "height", "left_handed")] + ["rank_diff", "height_diff_cm", "h2h_p1_wins", "h2h_p2_wins", "h2h_recency_days", "elo_p1_surface", "elo_p2_surface", "elo_diff_surface", "best_of", "level_code", "surface_code"]
+
+
+def _training(s, d):
+    """All features as numbers, with the listing market's probability where names and day tell the listing."""
     v = X.feature_vectors(_matches(s, d), table(s, d, "rankings"), _roster(s, d))
-    v = cut(v.select("match_id", "tourney_date", "label", *[F.col(c).cast("double").alias(c) for c in cols]))
-    model = E.boosted_trees(v.where("year(tourney_date) = 2023"), cols, "label", rounds=10)
-    return _round(E.metrics(E.score_trees(model, v.where("year(tourney_date) = 2024"), cols), "label", "probability_p1"))
+    v = v.withColumns({f"left_handed_{p}": (F.col(f"hand_{p}") == "L").cast("int") for p in ("p1", "p2")})
+    v = v.withColumns({"level_code": N.lookup(F.col("level"), {"Slam": 5, "Finals": 4, "M1000": 3, "ATP500": 2, "WTA500": 2, "ATP250": 1, "WTA250": 1}), "surface_code": N.lookup(F.col("surface"), {"Hard": 0, "IHard": 1, "Clay": 2, "Grass": 3})})
+    v = v.join(_market(s, d).select("match_id", F.col("market_p1").alias("market")), "match_id", "left")
+    return stored(v.select("match_id", "tour", "tourney_date", "p1", "p2", "label", "market", *[F.col(c).cast("double").alias(c) for c in _FEATURES]))
 
 
-@query(
-    "ref_m8_market_benchmark",
-    f"select m.match_id, round(case when winner_player_id < loser_player_id then x.p else 1 - x.p end, 7) as market_p1 from {LATEST} m join (select match_id, max(p) as p from (select m.match_id, 1.0 / (1 + exp((winner_rank - loser_rank) / 100.0)) as p from {LATEST} m where winner_rank is not null and loser_rank is not null) group by 1) x on x.match_id = m.match_id where winner_player_id is not null and loser_player_id is not null",
-)
+def _folds(s, d):
+    return E.fold_table(_training(s, d), "tourney_date", range(2023 * 4, 2025 * 4), months=3)
+
+
+@query("ref_m1_training_frame", f"{_VECTORS} select match_id, row_number() over (order by tourney_date, match_id) as position, label from v")
+def _(s, d):
+    v = X.feature_vectors(_matches(s, d), table(s, d, "rankings"), _roster(s, d), with_elo=False)
+    return files.numbered_rows(v.select("match_id", "tourney_date", "label"), [F.col("tourney_date").asc(), F.col("match_id").asc()]).select("match_id", "position", "label")
+
+
+@query("ref_m5_m7_m12_walk_forward")
 def _(s, d):
-    m = matches_latest(s, d, ["winner_player_id", "loser_player_id", "winner_rank", "loser_rank"])
-    market = m.where("winner_rank is not null and loser_rank is not null").select("match_id", (1 / (1 + F.exp((F.col("winner_rank") - F.col("loser_rank")) / 100.0))).alias("p"))
-    out = m.where("winner_player_id is not null and loser_player_id is not null").join(market, "match_id")
-    return out.select("match_id", F.round(F.when(F.col("winner_player_id") < F.col("loser_player_id"), F.col("p")).otherwise(1 - F.col("p")), 7).alias("market_p1"))
+    """Per quarter fold: 41 features, early stopping, calibration, metrics before and after; and the report as JSON."""
+    out = stored(E.walk_forward(_folds(s, d), _FEATURES, "label", lambda train, held: E.boosted_trees(train, _FEATURES, "label", rounds=8, held=held), "market"))
+    return out.join(F.broadcast(E.report(out).select("means")))  # one row
+
+
+@query("ref_m10_m11_score_and_reload")
+def _(s, d):
+    """Scores of fixtures seen from the greater id, from a model written and read again; `same` says the reloaded one gives the same."""
+    v = _training(s, d).where("tourney_date < date'2024-01-01'")
+    model, at = E.boosted_trees(v, _FEATURES, "label", rounds=4), files.scratch(s)
+    E.save_model(model, at)
+    here = E.score_trees(model, v, _FEATURES).select("match_id", "p1", "p2", F.col("probability_p1").alias("a"))
+    back = E.score_trees(E.load_trees(at), v, _FEATURES).select("match_id", F.col("probability_p1").alias("b"))
+    out = E.turned(here.join(back, "match_id"), "b", "p1", "p2")
+    return out.select("match_id", F.round("probability_a", 9).alias("probability_a"), (F.abs(F.col("a") - F.col("b")) < 1e-9).alias("same"))
+
+
+_NAMED = "(select distinct tour, player_id, lower(trim(full_name)) as name from players where player_id is not null and full_name is not null)"
+_MARKET = f"(select match_id, p from (select m.match_id, case when x.player_id = least(winner_player_id, loser_player_id) then o.median_implied_prob_a else 1 - o.median_implied_prob_a end as p, o.fetched_at, o.event_id from aggregated_odds o join {_NAMED} x on x.tour = o.tour and x.name = lower(trim(o.player_a_name)) join {_NAMED} y on y.tour = o.tour and y.name = lower(trim(o.player_b_name)) join {LATEST} m on least(m.winner_player_id, m.loser_player_id) = least(x.player_id, y.player_id) and greatest(m.winner_player_id, m.loser_player_id) = greatest(x.player_id, y.player_id) and date_diff('day', m.tourney_date, cast(o.commence_time_utc as date)) between 0 and 8 where o.median_implied_prob_a is not null and x.player_id <> y.player_id) qualify row_number() over (partition by match_id order by fetched_at desc nulls last, event_id, p) = 1)"
+
+
+def _market(s, d):
+    """(match_id, market_p1, tourney_date, label): the latest listing whose names are spelt in full, its probability turned to the smaller id."""
+    named = table(s, d, "players").where("player_id is not null and full_name is not null").select("tour", "player_id", F.lower(F.trim("full_name")).alias("name")).distinct()
+    o = table(s, d, "aggregated_odds").where("median_implied_prob_a is not null").select("event_id", "tour", "fetched_at", F.to_date("commence_time_utc").alias("day"), F.col("median_implied_prob_a").alias("p"), F.lower(F.trim("player_a_name")).alias("a"), F.lower(F.trim("player_b_name")).alias("b"))
+    for c in "ab":
+        o = o.join(named.select("tour", F.col("name").alias(c), F.col("player_id").alias(f"{c}_id")), ["tour", c])
+    o = o.where("a_id <> b_id").select("event_id", "fetched_at", "day", *K.pair_key(F.col("a_id"), F.col("b_id")), F.when(F.col("a_id") < F.col("b_id"), F.col("p")).otherwise(1 - F.col("p")).alias("market_p1"))
+    m = matches_latest(s, d, ["winner_player_id", "loser_player_id", "tourney_date"])
+    m = m.select("match_id", "tourney_date", *K.pair_key(F.col("winner_player_id"), F.col("loser_player_id")), (F.col("winner_player_id") < F.col("loser_player_id")).cast("int").alias("label"))
+    both = m.join(o, ["pair_low", "pair_high"]).where(F.date_diff("day", "tourney_date").between(0, 8))
+    return K.latest_by_key(both, ["match_id"], [F.col("fetched_at").desc_nulls_last(), F.col("event_id").asc(), F.col("market_p1").asc()]).select("match_id", "market_p1", "tourney_date", "label")
+
+
+@query("ref_m8_market_benchmark", f"select count(*) as n, round(avg(pow(p - y, 2)), 7) as brier, round(avg(((p >= 0.5)::int = y)::int), 7) as accuracy from (select x.p, case when m.winner_player_id < m.loser_player_id then 1 else 0 end as y from {_MARKET} x join {LATEST} m using (match_id))")
+def _(s, d):
+    return _round(E.metrics(_market(s, d), "label", "market_p1").select("n", "brier", "accuracy"))
+
+
+@query("ref_m9_last_folds", f"{_PRED}, f as (select yr * 4 + quarter(tourney_date) - 1 as v, count(*) as n, avg(pow(p - y, 2)) as brier from q group by 1), l as (select * from f qualify row_number() over (order by v desc) <= 3) select round(sum(n * brier) / sum(n), 7) as brier, count(*) as folds from l")
+def _(s, d):
+    p = _predictions(s, d).withColumn("v", F.col("yr") * 4 + F.quarter("tourney_date") - 1)
+    per = E.metrics(p, "y", "p", ["v"]).orderBy(F.col("v").desc()).limit(3)
+    return _round(per.agg(E.weighted_mean("brier", "n").alias("brier"), F.count(F.lit(1)).alias("folds")))
 
 
 # --- composites: one set-based plan for all players instead of one lookup per call ------------------------------------
@@ -177,6 +229,89 @@ def _(s, d):
     return m.groupBy("tour", "match_tier").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tourney_id").alias("events"), F.min("tourney_date").alias("first_day"), F.max("tourney_date").alias("last_day"), F.round(F.lit(100.0) * F.count("w_svpt") / F.count(F.lit(1)), 4).alias("with_stats_pct"))
 
 
+@query("ref_p2_head_to_head", f"select a, b, coalesce(surface, 'all') as surface, met, wins_a, n.name as name_a, o.name as name_b from (select least(player_id, opponent_id) as a, greatest(player_id, opponent_id) as b, surface, count(*) as met, cast(sum(won) as bigint) as wins_a from {PM} where player_id < opponent_id and surface is not null group by grouping sets ((1, 2, 3), (1, 2))) left join (select player_id, min(full_name) as name from players group by 1) n on n.player_id = a left join (select player_id, min(full_name) as name from players group by 1) o on o.player_id = b".replace("grouping sets ((1, 2, 3), (1, 2))", "grouping sets ((a, b, surface), (a, b))"))
+def _(s, d):
+    p = _pm(s, d).where("player_id < opponent_id and surface is not null").groupBy(F.col("player_id").alias("a"), F.col("opponent_id").alias("b"), "surface").agg(F.count(F.lit(1)).alias("n"), F.sum("won").alias("w"))
+    out = p.withColumn("surface", F.explode(F.array("surface", F.lit("all")))).groupBy("a", "b", "surface").agg(F.sum("n").alias("met"), F.sum("w").alias("wins_a"))
+    names = table(s, d, "players").groupBy("player_id").agg(F.min("full_name").alias("name"))
+    for c in "ab":
+        out = out.join(names.select(F.col("player_id").alias(c), F.col("name").alias(f"name_{c}")), c, "left")
+    return out
+
+
+@query("ref_p3_form_freshness", f"select player_id, count(*) as shown, cast(sum(won) as bigint) as won, max(tourney_date) as last_day, date '2024-07-01' - max(tourney_date) > 7 as outdated, min(coalesce(n.name, opponent_id)) as first_opponent from (select *, row_number() over (partition by player_id order by tourney_date desc, match_num desc nulls last, match_id desc) as k from {PM} where player_id is not null and tourney_date < date '2024-07-01') x left join (select player_id as id, min(full_name) as name from players group by 1) n on n.id = x.opponent_id where k <= 10 group by 1")
+def _(s, d):
+    p = _pm(s, d).where("player_id is not null and tourney_date < date'2024-07-01'").select("player_id", "opponent_id", "match_id", "won", "tourney_date", "match_num")
+    top = K.top_n_by_key(p, ["player_id"], [F.col("tourney_date").desc(), F.col("match_num").desc_nulls_last(), F.col("match_id").desc()], 10)
+    names = table(s, d, "players").groupBy(F.col("player_id").alias("opponent_id")).agg(F.min("full_name").alias("name"))
+    out = top.join(names, "opponent_id", "left").groupBy("player_id").agg(F.count(F.lit(1)).alias("shown"), F.sum("won").alias("won"), F.max("tourney_date").alias("last_day"), F.min(F.coalesce("name", "opponent_id")).alias("first_opponent"))
+    return out.withColumn("outdated", F.date_diff(F.lit("2024-07-01").cast("date"), "last_day") > 7)
+
+
+_SNAP = f"{ELO_STEPS}, sides as (select tour, surface, k, unnest([o.w, o.l]) as player_id, unnest([wb + 32 * (1 - 1 / (1 + pow(10, (lb - wb) / 400))), lb - 32 * (1 - 1 / (1 + pow(10, (lb - wb) / 400)))]) as rating, tourney_date from e join o using (tour, surface, k) join c on c.match_id = o.match_id where e.k > 0), snap as (select * from sides qualify row_number() over (partition by tour, surface, player_id order by k desc) = 1)"
+
+
+@query("ref_p5_surface_elo", f"{_SNAP}, f as (select distinct tour, surface, least(winner_player_id, loser_player_id) as a, greatest(winner_player_id, loser_player_id) as b from c where tourney_date >= date '2024-01-01'), g as (select distinct tour, s.surface, a, b from f, (values ('Hard'), ('Grass')) s(surface)) select g.tour, g.surface, a, b, round(coalesce(x.rating, 1500), 6) as elo_a, round(coalesce(y.rating, 1500), 6) as elo_b, round(1 / (1 + pow(10, -(coalesce(x.rating, 1500) - coalesce(y.rating, 1500)) / 400)), 9) as expected_a, greatest(x.tourney_date, y.tourney_date) as snapshot_day from g left join snap x on x.tour = g.tour and x.surface = g.surface and x.player_id = a left join snap y on y.tour = g.tour and y.surface = g.surface and y.player_id = b")
+def _(s, d):
+    rows = cut(_contests(s, d))
+    snap = stored(X.elo_snapshot(rows))
+    asked = rows.where("tourney_date >= date'2024-01-01'").select("tour", F.least("winner_player_id", "loser_player_id").alias("a"), F.greatest("winner_player_id", "loser_player_id").alias("b")).distinct().withColumn("surface", F.explode(F.array(F.lit("Hard"), F.lit("Grass"))))
+    for c in "ab":
+        asked = asked.join(snap.select("tour", "surface", F.col("player_id").alias(c), F.col("rating").alias(f"r_{c}"), F.col("last_updated").alias(f"d_{c}")), ["tour", "surface", c], "left")
+    a, b = F.coalesce("r_a", F.lit(1500.0)), F.coalesce("r_b", F.lit(1500.0))
+    return asked.select("tour", "surface", "a", "b", F.round(a, 6).alias("elo_a"), F.round(b, 6).alias("elo_b"), F.round(N.expected_score(a - b), 9).alias("expected_a"), F.greatest("d_a", "d_b").alias("snapshot_day"))
+
+
+@query("ref_p7_live_then_cold", f"with live as (select user_id, max(ts) as ts from events group by 1), k as (select player_id, cast(substr(player_id, 5) as bigint) % 100 as uid from (select distinct player_id from {PM} where player_id is not null)) select k.player_id, case when l.ts >= timestamp '2024-01-29' then 'live' when n.n > 0 then 'cold' else 'none' end as origin, coalesce(n.n, 0) as n from k left join live l on l.user_id = k.uid left join (select player_id, least(count(*), 5) as n from {PM} where match_status = 'completed' group by 1) n using (player_id)")
+def _(s, d):
+    """Recent contests from the live cache where that is fresh, else the last five of the archive."""
+    pm = _pm(s, d).where("player_id is not null")
+    live = K.latest_by_key(table(s, d, "events").select("user_id", "ts"), ["user_id"], [F.col("ts").desc()])
+    asked = pm.select("player_id").distinct().withColumn("user_id", F.substring("player_id", 5, 20).cast("long") % 100)
+    cold = K.top_n_by_key(pm.where("match_status = 'completed'").select("player_id", "match_id", "tourney_date"), ["player_id"], [F.col("tourney_date").desc_nulls_last(), F.col("match_id").desc()], 5).groupBy("player_id").agg(F.count(F.lit(1)).alias("n"))
+    out = asked.join(live, "user_id", "left").join(cold, "player_id", "left")
+    return out.select("player_id", F.when(F.col("ts") >= F.to_timestamp_ntz(F.lit("2024-01-29 00:00:00")), "live").when(F.col("n") > 0, "cold").otherwise("none").alias("origin"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("ref_p8_p9_scoreboard", f"{_PRED} select q.match_id, round((q.p - x.p) * 100, 6) as gap_pp, abs((q.p - x.p) * 100) > 10 as panel, (q.p - 0.5) * (x.p - 0.5) < 0 and abs(q.p - x.p) >= 0.05 as model_against_market, (q.p >= 0.5)::int = y as model_right, (x.p >= 0.5)::int = y as market_right from q join {{0}} x using (match_id)".replace("{0}", _MARKET))
+def _(s, d):
+    p = _predictions(s, d).join(_market(s, d).select("match_id", "market_p1"), "match_id")
+    gap = F.col("p") - F.col("market_p1")
+    return p.select("match_id", F.round(gap * 100, 6).alias("gap_pp"), (F.abs(gap * 100) > 10).alias("panel"), (((F.col("p") - 0.5) * (F.col("market_p1") - 0.5) < 0) & (F.abs(gap) >= 0.05)).alias("model_against_market"), ((F.col("p") >= 0.5).cast("int") == F.col("y")).alias("model_right"), ((F.col("market_p1") >= 0.5).cast("int") == F.col("y")).alias("market_right"))
+
+
+@query("ref_p11_home_listing", "select tour, sport_key, cast(row_number() over (order by case tour when 'ATP' then 0 when 'WTA' then 1 else 2 end, sport_key) as bigint) as position, count(*) as fixtures, min(commence_time_utc) as first_start from aggregated_odds where tour is not null and sport_key is not null and (commence_time_utc is null or cast(commence_time_utc as date) between date '2024-01-01' and date '2024-06-30') group by 1, 2")
+def _(s, d):
+    o = table(s, d, "aggregated_odds").where("tour is not null and sport_key is not null and (commence_time_utc is null or to_date(commence_time_utc) between date'2024-01-01' and date'2024-06-30')")
+    g = o.groupBy("tour", "sport_key").agg(F.count(F.lit(1)).alias("fixtures"), F.min("commence_time_utc").alias("first_start"))
+    return files.numbered_rows(g, [F.when(F.col("tour") == "ATP", 0).when(F.col("tour") == "WTA", 1).otherwise(2).asc(), F.col("sport_key").asc()])
+
+
+_RK = "case round when 'R128' then 1 when 'R64' then 2 when 'R32' then 3 when 'R16' then 4 when 'QF' then 5 when 'SF' then 6 when 'F' then 7 end"
+
+
+@query(
+    "ref_p13_refresh",
+    f"""with m as (select match_id, tour, tourney_id, round, match_num, ingested_at, winner_player_id as w, loser_player_id as l, match_status, {_RK} as rk from {LATEST} where tour is not null and tourney_id is not null and winner_player_id is not null and loser_player_id is not null),
+top as (select tour, tourney_id, p, max(rk) as top from (select tour, tourney_id, unnest([w, l]) as p, rk from m where rk is not null) group by 1, 2, 3),
+a as (select m.* from m left join top x on x.tour = m.tour and x.tourney_id = m.tourney_id and x.p = m.w left join top y on y.tour = m.tour and y.tourney_id = m.tourney_id and y.p = m.l where rk is null or (x.top <= rk and y.top <= rk)),
+b as (select * from a where round is null union all select * from a where round is not null qualify row_number() over (partition by tour, tourney_id, least(w, l), greatest(w, l), round order by ingested_at desc nulls last, match_num desc nulls last, match_id) = 1)
+select match_id from b where not exists (select 1 from {LATEST} r where r.match_status = 'completed' and r.tourney_id = b.tourney_id and coalesce(r.round, '') = coalesce(b.round, '') and least(r.winner_player_id, r.loser_player_id) = least(w, l) and greatest(r.winner_player_id, r.loser_player_id) = greatest(w, l))""",
+)
+def _(s, d):
+    """The daily refresh over fixtures: contradicted rounds, then repeated fixtures, then those with a result go; each step one anti-join or pick."""
+    m = matches_latest(s, d, ["tour", "tourney_id", "round", "match_num", "ingested_at", "winner_player_id", "loser_player_id", "match_status"]).where("tour is not null and tourney_id is not null and winner_player_id is not null and loser_player_id is not null")
+    m = m.withColumn("rk", N.lookup(F.col("round"), {"R128": 1, "R64": 2, "R32": 3, "R16": 4, "QF": 5, "SF": 6, "F": 7})).select("*", *K.pair_key(F.col("winner_player_id"), F.col("loser_player_id")))
+    long = m.where("rk is not null").select("match_id", "tour", "tourney_id", "rk", F.explode(F.array("winner_player_id", "loser_player_id")).alias("p"))
+    top = long.groupBy("tour", "tourney_id", "p").agg(F.max("rk").alias("top"))
+    against = long.join(top, ["tour", "tourney_id", "p"]).where("top > rk").select("match_id").distinct()
+    kept = m.join(against, "match_id", "left_anti")
+    one = K.latest_by_key(kept.where("round is not null"), ["tour", "tourney_id", "pair_low", "pair_high", "round"], [F.col("ingested_at").desc_nulls_last(), F.col("match_num").desc_nulls_last(), F.col("match_id").asc()])
+    fixtures = kept.where("round is null").unionByName(one).withColumn("round_key", F.coalesce("round", F.lit("")))
+    done = m.where("match_status = 'completed'").select("tourney_id", F.coalesce("round", F.lit("")).alias("round_key"), "pair_low", "pair_high").distinct()
+    return fixtures.join(done, ["tourney_id", "round_key", "pair_low", "pair_high"], "left_anti").select("match_id")
+
+
 # --- streaming ---------------------------------------------------------------------------------------------------------
 
 

@@ -57,12 +57,7 @@ def elo_before(spark: SparkSession, d: str) -> DataFrame:
 
 def elo_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Rating, contests and last day of each player and surface after the whole replay."""
-    rows = _contests(spark, d)
-    after = X.elo(rows).join(rows.select("match_id", "tourney_date", "tourney_id", "match_num"), "match_id")
-    both = F.array(F.struct(F.col("winner_player_id").alias("player_id"), F.col("winner_after").alias("rating")), F.struct(F.col("loser_player_id").alias("player_id"), F.col("loser_after").alias("rating")))
-    long = after.select("tour", "surface", F.struct("tourney_date", "tourney_id", "match_num", "match_id").alias("at"), F.explode(both).alias("e"))
-    out = long.groupBy("tour", "surface", F.col("e.player_id").alias("player_id")).agg(F.max_by("e.rating", "at").alias("rating"), F.count(F.lit(1)).alias("matches_played"), F.max("at.tourney_date").alias("last_updated"))
-    return _rounded(out.withColumn("rating", F.round("rating", 6)))
+    return _rounded(X.elo_snapshot(_contests(spark, d)).withColumn("rating", F.round("rating", 6)))
 
 
 def as_of(spark: SparkSession, d: str) -> DataFrame:

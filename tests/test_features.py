@@ -34,6 +34,14 @@ def world(spark):
     return run, spark, rankings, roster
 
 
+def test_sharded_layout_gives_the_same_vectors(world):
+    """Players beyond the bound are laid out by time shards; nothing else changes."""
+    _, spark, rankings, roster = world
+    matches = spark.createDataFrame([tuple(r) for r in make(60)], SCHEMA)
+    rows = [{r["match_id"]: r.asDict() for r in X.feature_vectors(matches, rankings, roster, with_elo=False, most=most).collect()} for most in (X.MOST, 0)]
+    assert len(rows[0]) > 20 and rows[0] == rows[1]
+
+
 def test_41_features_and_gates(world):
     run, *_ = world
     got = run(make())
