@@ -24,18 +24,24 @@ def daily_leaves(df: DataFrame, entity: str, day: str, measures: Sequence[str])
     )
 
 
+def tree_leaves(longest: int) -> int:
+    """Leaves of a shard's tree: a power of two, at least LEAVES and twice the longest period."""
+    if longest < 1:
+        raise ValueError("periods of 1 day or more")
+    return max(LEAVES, 1 << (2 * longest - 1).bit_length())
+
+
 def shard_width(longest: int) -> int:
-    """Days a shard answers for: its tree of LEAVES leaves also holds the `longest` - 1 days before them."""
-    if longest < 1 or longest > LEAVES // 2:
-        raise ValueError(f"periods of 1 to {LEAVES // 2} days")
-    return LEAVES - longest + 1
+    """Days a shard answers for: its tree also holds the `longest` - 1 days before them."""
+    return tree_leaves(longest) - longest + 1
 
 
 def build_trees(leaves: np.ndarray) -> np.ndarray:
-    """[groups, LEAVES] -> heap-ordered trees [groups, 2 * LEAVES]; node k has the sum of 2k and 2k + 1."""
-    trees = np.zeros((leaves.shape[0], 2 * LEAVES), dtype=np.int64)
-    trees[:, LEAVES:] = leaves
-    size = LEAVES // 2
+    """[groups, leaves] -> heap-ordered trees [groups, 2 * leaves]; node k has the sum of 2k and 2k + 1."""
+    n = leaves.shape[1]
+    trees = np.zeros((leaves.shape[0], 2 * n), dtype=np.int64)
+    trees[:, n:] = leaves
+    size = n // 2
     while size >= 1:
         trees[:, size : 2 * size] = trees[:, 2 * size : 4 * size : 2] + trees[:, 2 * size + 1 : 4 * size : 2]
         size //= 2
@@ -44,15 +50,15 @@ def build_trees(leaves: np.ndarray) -> np.ndarray:
 
 def correct(trees: np.ndarray, group: np.ndarray, leaf: np.ndarray, delta: np.ndarray) -> None:
     """Add late corrections in place, touching a leaf and its ancestors only."""
-    node = leaf + LEAVES
+    node = leaf + trees.shape[1] // 2
     while node.size and node[0] >= 1:
         np.add.at(trees, (group, node), delta)
         node = node // 2
 
 
-def canonical_nodes(first: int, last: int) -> list[int]:
+def canonical_nodes(first: int, last: int, leaves: int = LEAVES) -> list[int]:
     """The nodes whose leaves make up first..last, at most two a level."""
-    lo, hi, out = first + LEAVES, last + LEAVES + 1, []
+    lo, hi, out = first + leaves, last + leaves + 1, []
     while lo < hi:
         if lo & 1:
             out.append(lo)
@@ -66,10 +72,11 @@ def canonical_nodes(first: int, last: int) -> list[int]:
 
 def range_totals(trees: np.ndarray, period: int, first_answer: int) -> np.ndarray:
     """[groups, answered days]: for each day from leaf `first_answer` on the total of the `period` days that end with it."""
-    days = range(first_answer, LEAVES)
+    leaves = trees.shape[1] // 2
+    days = range(first_answer, leaves)
     out = np.empty((trees.shape[0], len(days)), dtype=np.int64)
     for k, d in enumerate(days):
-        out[:, k] = trees[:, canonical_nodes(d - period + 1, d)].sum(axis=1)
+        out[:, k] = trees[:, canonical_nodes(d - period + 1, d, leaves)].sum(axis=1)
     return out
 
 
@@ -83,10 +90,11 @@ def trailing_totals(
     are added to their leaves' ancestors after the trees stand.
 
     One shuffle by (entity, shard): each leaf goes to the shard of its day and, if within reach, to the next one, so a
-    group has at most LEAVES rows and a busy entity is spread over its shards. Averages are total / period or / n.
+    group has at most as many rows as its tree has leaves and a busy entity is spread over its shards. Averages are total / period or / n.
     """
     longest = max(periods)
-    width = shard_width(longest)
+    width, size = shard_width(longest), tree_leaves(longest)
+    chunk = max(1, chunk * LEAVES // size)
     reach = longest - 1
     cols = ["n", *measures]
     both = leaves.withColumn("late", F.lit(0))
@@ -105,7 +113,7 @@ def trailing_totals(
         late = pdf["late"].to_numpy() == 1
         values: dict[str, np.ndarray] = {}
         for c in cols:
-            own = np.zeros((len(heads), LEAVES), dtype=np.int64)
+            own = np.zeros((len(heads), size), dtype=np.int64)
             x = pdf[c].to_numpy().astype(np.int64)
             np.add.at(own, (group[~late], leaf[~late]), x[~late])
             trees = build_trees(own)
@@ -113,7 +121,7 @@ def trailing_totals(
             for p in periods:
                 values[f"{c}_{p}"] = range_totals(trees, p, reach)
             if c == "n":
-                values["n"] = trees[:, LEAVES + reach :]
+                values["n"] = trees[:, size + reach :]
         g, k = np.nonzero((values[f"n_{longest}"] > 0) & keep(values))
         return pd.DataFrame({"entity": pdf["entity"].to_numpy()[heads[g]], "day": (start[g] + k).astype(np.int32), **{x: values[x][g, k] for x in names}})
 
