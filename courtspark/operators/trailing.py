@@ -134,6 +134,53 @@ def trailing_totals(
     return laid.mapInPandas(run, schema)
 
 
+def tree_nodes(leaves: DataFrame, measures: Sequence[str], longest: int) -> DataFrame:
+    """(entity, shard, node, n, sums): the trees as rows to be stored, a leaf's values added to itself and its ancestors only.
+
+    The nodes of late corrections (leaves of deltas) are few rows of the same kind: append them to the stored ones, and
+    every total that reads both is the corrected one; no other node is read or written.
+    """
+    size, width, reach = tree_leaves(longest), shard_width(longest), longest - 1
+    home = F.floor(F.col("day") / width).cast("int")
+    shards = F.array_distinct(F.array(home, F.floor((F.col("day") + reach) / width).cast("int")))
+    laid = leaves.withColumn("shard", F.explode(shards))
+    leaf = F.col("day") - F.col("shard") * width + reach + size
+    levels = F.transform(F.sequence(F.lit(0), F.lit(size.bit_length() - 1)), lambda k: F.floor(leaf / F.pow(F.lit(2), k)).cast("int"))
+    sums = [F.sum(F.col(c).cast("long")).alias(c) for c in ["n", *measures]]
+    return laid.withColumn("node", F.explode(levels)).groupBy("entity", "shard", "node").agg(*sums)
+
+
+def totals_of_trees(nodes: DataFrame, measures: Sequence[str], periods: Sequence[int], keep: Callable[[dict[str, np.ndarray]], np.ndarray], chunk: int = 1000) -> DataFrame:
+    """What trailing_totals returns, from stored nodes (and those of corrections): range queries over the trees, nothing is built anew."""
+    longest, cols = max(periods), ["n", *measures]
+    size, width, reach = tree_leaves(longest), shard_width(longest), longest - 1
+    chunk = max(1, chunk * LEAVES // size)
+    laid = nodes.select("entity", "shard", "node", *cols).repartition("entity", "shard").sortWithinPartitions("entity", "shard")
+    names = ["n", *[f"{c}_{p}" for p in periods for c in cols]]
+    schema = f"entity {nodes.schema['entity'].dataType.simpleString()}, day int, " + ", ".join(f"{x} long" for x in names)
+
+    def answer(pdf: pd.DataFrame, group: np.ndarray, heads: np.ndarray) -> pd.DataFrame:
+        start = pdf["shard"].to_numpy()[heads].astype(np.int64) * width
+        values: dict[str, np.ndarray] = {}
+        for c in cols:
+            trees = np.zeros((len(heads), 2 * size), dtype=np.int64)
+            np.add.at(trees, (group, pdf["node"].to_numpy()), pdf[c].to_numpy().astype(np.int64))
+            for p in periods:
+                values[f"{c}_{p}"] = range_totals(trees, p, reach)
+            if c == "n":
+                values["n"] = trees[:, size + reach :]
+        g, k = np.nonzero((values[f"n_{longest}"] > 0) & keep(values))
+        return pd.DataFrame({"entity": pdf["entity"].to_numpy()[heads[g]], "day": (start[g] + k).astype(np.int32), **{x: values[x][g, k] for x in names}})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, group, heads in whole_groups(batches, ["entity", "shard"]):
+            for lo in range(0, len(heads), chunk):
+                a, b = heads[lo], heads[lo + chunk] if lo + chunk < len(heads) else len(pdf)
+                yield answer(pdf.iloc[a:b], group[a:b] - lo, heads[lo : lo + chunk] - a)
+
+    return laid.mapInPandas(run, schema)
+
+
 def whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     """Batches of sorted rows recut so that no group is split; with each the group number by row and the first row by group."""
     rest: pd.DataFrame | None = None

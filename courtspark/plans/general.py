@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtspark.operators.known_at import attribute_history, values_known_at
-from courtspark.operators.trailing import daily_leaves, trailing_totals
+from courtspark.operators.keyed import latest_by_key
+from courtspark.operators.trailing import daily_leaves, totals_of_trees, trailing_totals, tree_nodes
+from courtspark.session import scratch
+from courtspark.sources.files import KeyedTable
 from courtspark.sources.tables import both_players, matches_latest, table
 
 PERIODS = [7, 30]
@@ -56,7 +59,24 @@ def p5_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_attributes": p2_attributes, "p5_found": p5_found, "p5_peaks": p5_peaks}
+def p5_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p5_found from stored trees: built from the first version of each match, then corrected by what later versions changed."""
+    cols = ["w_svpt", "w_first_won"]
+    raw = table(spark, sf_dir, "matches").where("match_id is not null").select("match_id", "winner_player_id", "tourney_date", *cols, "ingested_at")
+    rest = ["winner_player_id", "tourney_date", *cols]
+    first = latest_by_key(raw, ["match_id"], [F.col("ingested_at").asc_nulls_last(), *[F.col(c).desc_nulls_last() for c in rest]]).select(*rest)
+    both = F.col("w_svpt").isNotNull() & F.col("w_first_won").isNotNull()
+    old = daily_leaves(first.select(*rest[:2], *[F.when(both, F.col(c)).alias(c) for c in cols]), *rest[:2], cols)
+    kept = KeyedTable(spark, scratch(spark), "trees", ["entity", "shard", "node", "part"], ["part"])
+    kept.upsert(tree_nodes(old, cols, max(PERIODS)).withColumn("part", F.lit(0)))
+    minus = old.select("entity", "day", *[(-F.col(c)).alias(c) for c in ("n", *cols)])
+    delta = _won_leaves(spark, sf_dir).unionByName(minus).groupBy("entity", "day").agg(*[F.sum(c).alias(c) for c in ("n", *cols)]).where("n <> 0 or w_svpt <> 0 or w_first_won <> 0")
+    kept.upsert(tree_nodes(delta, cols, max(PERIODS)).withColumn("part", F.lit(1)))
+    found = totals_of_trees(kept.read(), cols, PERIODS, lambda v: (v["n"] == 0) & (v["w_svpt_7"] >= 200) & (100 * v["w_first_won_30"] >= 42 * v["w_svpt_30"]))
+    return found.select(F.col("entity").alias("player_id"), F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd").alias("day_date"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_attributes": p2_attributes, "p5_found": p5_found, "p5_peaks": p5_peaks, "p5_corrected": p5_corrected}
 
 LATEST = "(select * from matches where match_id is not null qualify row_number() over (partition by match_id order by ingested_at desc nulls last) = 1)"
 BOTH = f"(select distinct match_id, tourney_date, unnest([winner_player_id, loser_player_id]) as player_id from {LATEST})"
@@ -82,3 +102,4 @@ where m.player_id is not null and m.tourney_date is not null""",
     "p5_found": f"{TRAILING} select player_id, strftime(day, '%Y-%m-%d') as day_date from t where n is null and sv7 >= 200 and 100 * fw30 >= 42 * sv30",
     "p5_peaks": f"{TRAILING} select player_id, count(*) as active_days, max(sv7) as most_svpt_7, max(sv30) as most_svpt_30, max(fw30) as most_first_won_30, max(n30) as most_wins_30 from t group by 1",
 }
+ORACLE["p5_corrected"] = ORACLE["p5_found"]
