@@ -113,7 +113,7 @@ def _training(s, d):
 
 
 def _folds(s, d):
-    return E.fold_table(_training(s, d), "tourney_date", range(2023 * 4, 2025 * 4), months=3)
+    return E.fold_table(_training(s, d), "tourney_date", range(2023 * 2, 2025 * 2), months=6)
 
 
 @query("ref_m1_training_frame", f"{_VECTORS} select match_id, row_number() over (order by tourney_date, match_id) as position, label from v")
@@ -124,7 +124,7 @@ def _(s, d):
 
 @query("ref_m5_m7_m12_walk_forward")
 def _(s, d):
-    """Per quarter fold: 41 features, early stopping, calibration, metrics before and after; and the report as JSON."""
+    """Per half-year fold: 41 features, early stopping, calibration, metrics before and after; and the report as JSON."""
     out = stored(E.walk_forward(_folds(s, d), _FEATURES, "label", lambda train, held: E.boosted_trees(train, _FEATURES, "label", rounds=8, held=held), "market"))
     return out.join(F.broadcast(E.report(out).select("means")))  # one row
 
