@@ -334,4 +334,4 @@ def _(s, d):
     for tour in ("ATP", "WTA"):
         files.write_csv(r.where(F.col("tour") == tour), at, "append")
     files.write_csv(r.where("tour is null or tour not in ('ATP', 'WTA')"), at, "append")
-    return files.csv_text(s, at, ["tour", "full_name", "verdict"])
+    return files.csv_written(s, at, ["tour", "full_name", "verdict"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -23,13 +24,21 @@ SERVE_CSV = {"ace": "ace", "df": "df", "svpt": "svpt", "1stIn": "first_in", "1st
 
 def write_csv(df: DataFrame, path: str | None = None, mode: str = "overwrite") -> str:
     path = path or scratch(df.sparkSession)
-    df.write.mode(mode).options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    df.write.mode(mode).options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"').csv(path)
     return path
 
 
+def csv_written(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """What `write_csv` wrote at `path`, text for text: an empty text is a quoted nothing, a null a bare one.
+
+    A table has two columns or more: of one, a null is a blank line, which readers skip. Spark takes both for its null mark, so the mark is a text made up for this read, which no field holds.
+    """
+    return spark.read.schema(StructType([StructField(c, StringType()) for c in columns])).options(header=True, multiLine=True, lineSep="\n", escape='"', nullValue=uuid.uuid4().hex, emptyValue="").csv(path)
+
+
 def csv_text(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Files as text columns, header skipped; no inference pass over the data. Globs keep tiers apart."""
-    return spark.read.schema(StructType([StructField(c, StringType()) for c in columns])).option("header", True).csv(list(path) if not isinstance(path, str) else path)
+    """Files as text columns, header skipped; no inference pass over the data. Globs keep tiers apart. Feeds leave a field empty, quoted or not, where they know nothing."""
+    return spark.read.schema(StructType([StructField(c, StringType()) for c in columns])).options(header=True, escape='"').csv(list(path) if not isinstance(path, str) else path)
 
 
 def csv_typed(spark: SparkSession, path: str | Sequence[str], schema: StructType) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import pytest
 
@@ -21,6 +22,14 @@ def test_csv_sources(spark, tmp_path):
     assert files.ranking_csv(spark, [str(tmp_path / "r.csv")], "WTA").where("ranking_date is not null").count() == 1
 
 
+def test_written_csv_is_read_back_as_it_was(spark):
+    odd = [None, "", " ", " y ", '"', 'a "b", c', "\\", "a,b\\", '\\"', "a\nb", "a\r\nb", "\r", "#c", "null", "é"]
+    rows = [(a, b) for a in odd for b in odd]
+    at = files.write_csv(spark.createDataFrame(rows[:100], "a string, b string"))
+    files.write_csv(spark.createDataFrame(rows[100:], "a string, b string"), at, "append")
+    assert Counter(map(tuple, files.csv_written(spark, at, ["a", "b"]).collect())) == Counter(rows)
+
+
 def test_book_odds(spark, tmp_path):
     book = lambda k, a, b: {"key": k, "title": k, "markets": [{"key": "h2h", "outcomes": [{"name": "B", "price": b}, {"name": "A", "price": a}]}]}
     event = {"id": "e", "sport_key": "tennis_atp_x", "commence_time": "2024-01-01T10:00:00Z", "home_team": "A", "away_team": "B", "bookmakers": [book("pinnacle", 2.0, 2.0), book("x", 1.0, 9.0), book("y", 1.5, 3.0)]}
