@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from itertools import islice
 
 from pyspark.sql import functions as F
 
@@ -305,13 +306,14 @@ def _(s, d):
 @query("ref_s9_pages", "select s_suppkey as id, s_name as name from supplier")
 def _(s, d):
     """Pages of a feed, fetched until it says there are no more; what was fetched lands as text and is read from there."""
-    rows = [(r["s_suppkey"], r["s_name"]) for r in table(s, d, "supplier").select("s_suppkey", "s_name").orderBy("s_suppkey").toLocalIterator()]  # the feed at the other end
+    feed = table(s, d, "supplier").select("s_suppkey", "s_name").orderBy("s_suppkey").toLocalIterator()  # the feed at the other end
+    ahead = list(islice(feed, 1))
 
     def fetch(page: int) -> dict:
-        mine = rows[(page - 1) * 40 : page * 40]
-        return {"data": [{"id": str(i), "name": n} for i, n in mine], "hasNextPage": page * 40 < len(rows)}
+        mine, ahead[:] = [*ahead, *islice(feed, 39)], islice(feed, 1)
+        return {"data": [{"id": str(r["s_suppkey"]), "name": r["s_name"]} for r in mine], "hasNextPage": bool(ahead)}
 
-    landed = files.land_pages(s, fetch, files.scratch(s), most=10_000)
+    landed = files.land_pages(s, fetch, files.scratch(s))
     return files.feed_rows(landed, "body", "rankings").select(F.col("id").cast("long").alias("id"), "name")
 
 

@@ -114,11 +114,26 @@ def _as_field(field: str) -> str:
     return f"{name}: {kind}"
 
 
-def land_pages(spark: SparkSession, fetch: Callable[[int], dict], path: str, most: int = 100) -> DataFrame:
-    """(body) of the pages `fetch` gives from 1 on, until one says there is no next or `most` are read; each is written before the next is asked for."""
-    for page in range(1, most + 1):
-        got = fetch(page)
-        spark.createDataFrame([(json.dumps(got),)], "body string").coalesce(1).write.mode("append").text(path)
+def land_pages(spark: SparkSession, fetch: Callable[[int], dict], path: str, most: int | None = None) -> DataFrame:
+    """(body) of the pages `fetch` gives from 1 on, until one says there is no next or `most` are read; each is written before the next is asked for.
+
+    A page is a file of its own, made under a hidden name and then renamed, so that readers see whole pages; a job per
+    page would take longer than the page. Pages landed at `path` before stay.
+    """
+    fs, at = folder(spark, path)
+    fs.mkdirs(at)
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    run, page = uuid.uuid4().hex, 0
+    while most is None or page < most:
+        got, page = fetch(page + 1), page + 1
+        name = f"{run}-{page:012d}.txt"
+        out = fs.create(of(at, f"_{name}"))
+        try:
+            out.write(bytearray(json.dumps(got).encode() + b"\n"))
+        finally:
+            out.close()
+        if not fs.rename(of(at, f"_{name}"), of(at, name)):
+            raise OSError(f"page {page} can't be landed in {path}")
         if not got.get("hasNextPage"):
             break
     return spark.read.schema("body string").text(path)

@@ -30,6 +30,22 @@ def test_written_csv_is_read_back_as_it_was(spark):
     assert Counter(map(tuple, files.csv_written(spark, at, ["a", "b"]).collect())) == Counter(rows)
 
 
+def test_every_page_lands_without_a_job(spark, tmp_path):
+    jobs_of = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    seen = []
+
+    def fetch(page):
+        landed = [p.read_text() for p in (tmp_path / "p").glob("[!._]*")]
+        seen.append(len(landed))
+        return {"data": [{"id": page, "name": "é\n"}], "hasNextPage": page < 150}
+
+    before = jobs_of()
+    pages = files.land_pages(spark, fetch, str(tmp_path / "p"))
+    assert jobs_of() == before and seen == list(range(150))  # each is there before the next is asked for
+    assert sorted(int(r["id"]) for r in files.feed_rows(pages, "body", "rankings").where("name = 'é\n'").collect()) == list(range(1, 151))
+    assert files.land_pages(spark, fetch, str(tmp_path / "p"), most=2).count() == 152
+
+
 def test_book_odds(spark, tmp_path):
     book = lambda k, a, b: {"key": k, "title": k, "markets": [{"key": "h2h", "outcomes": [{"name": "B", "price": b}, {"name": "A", "price": a}]}]}
     event = {"id": "e", "sport_key": "tennis_atp_x", "commence_time": "2024-01-01T10:00:00Z", "home_team": "A", "away_team": "B", "bookmakers": [book("pinnacle", 2.0, 2.0), book("x", 1.0, 9.0), book("y", 1.5, 3.0)]}
