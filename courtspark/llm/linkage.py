@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtspark.operators.keyed import latest_by_key
-from courtspark.session import Rounds, stored
+from courtspark.session import Rounds, stored, tidy
 
 #: Letters that don't decompose, and name particles that tell nobody apart.
 _LETTERS = str.maketrans({"ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i"})
@@ -85,7 +85,11 @@ def name_similarity(given: list[str], first: list[str], last: list[str]) -> floa
 
 
 def _deletions(word: Column) -> Column:
-    """The word and all forms with one letter less: two words within one edit, or one swap, share a form."""
+    """The word and all forms with one letter less: two words within one edit, or one swap, share a form.
+
+    Exploded, this makes many rows of one, which the planner's size estimates don't know of: joins on forms must name
+    their kind, or a table is broadcast by the size it had before.
+    """
     less = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
     return F.array_distinct(F.concat(F.array(word), F.when(F.length(word) >= 4, less).otherwise(F.array().cast("array<string>"))))
 
@@ -125,7 +129,7 @@ class Names:
         held = given.select("pool", "raw", F.explode("given").alias("given_word"))
         given_words = held.select("pool", "given_word").distinct().withColumn("form", F.explode(_deletions(F.col("given_word"))))
         roster_words = known.select("pool", F.explode("lasts").alias("word")).distinct().withColumn("form", F.explode(_deletions(F.col("word"))))
-        near = given_words.join(roster_words, ["pool", "form"]).select("pool", "given_word", "word").distinct().where("levenshtein(given_word, word) <= 2")
+        near = given_words.join(roster_words.hint("merge"), ["pool", "form"]).select("pool", "given_word", "word").distinct().where("levenshtein(given_word, word) <= 2")
         squeezed = stored(_squeezed_candidates(given, known))
         whole = squeezed.join(known, ["pool", "player_id"]).select("pool", "raw", F.explode("lasts").alias("word"))
         words = stored(held.join(near, ["pool", "given_word"]).select("pool", "raw", "word").unionByName(whole).distinct())
@@ -184,7 +188,7 @@ def _squeezed_candidates(given: DataFrame, known: DataFrame) -> DataFrame:
     forms = F.array(*[F.struct(F.concat(*parts).alias("form"), F.lit(fit).alias("worth")) for parts, fit in (((joined("firsts"), joined("lasts")), 1.0), ((joined("lasts"), joined("firsts")), 1.0), ((initial, joined("lasts")), 0.92), ((joined("lasts"), initial), 0.92))])
     entries = known.where(first.isNotNull()).select("pool", "player_id", joined("lasts").alias("surname"), F.explode(forms).alias("f")).select("pool", "player_id", "surname", F.col("f.form").alias("form"), F.col("f.worth").alias("worth")).where("length(form) >= 6")
     asked = given.select("pool", "raw", joined("given").alias("squeezed")).where("length(squeezed) >= 6")
-    met = asked.withColumn("key", F.explode(_deletions(F.col("squeezed")))).join(entries.withColumn("key", F.explode(_deletions(F.col("form")))), ["pool", "key"])
+    met = asked.withColumn("key", F.explode(_deletions(F.col("squeezed")))).join(entries.withColumn("key", F.explode(_deletions(F.col("form")))).hint("merge"), ["pool", "key"])
     met = met.select("pool", "raw", "player_id", "squeezed", "form", "surname", "worth").distinct().where("squeezed = form or (levenshtein(squeezed, form) <= 2 and not contains(squeezed, surname))")
     return met.select("pool", "raw", "player_id", (F.col("worth") * (1.0 - F.levenshtein("squeezed", "form") / F.length("form")) * 0.97).alias("fit"))
 
@@ -219,32 +223,41 @@ def solve(links: DataFrame, rho: float = 1.0, prior: float = 0.1, evidence: floa
     alone = F.col("_of_target") + F.col("_of_record") == 2
     free = grouped.where(alone).select(*links.columns, F.round(clip(similarity - prior / (2 * evidence)), 6).alias("truth"))
     table = Rounds()
-    state = grouped.where(~alone).withColumn("z", similarity).withColumns({f"u{k}": F.lit(0.0) for k in range(1, 5)}).withColumn("gap", F.lit(1.0))
-    state = table("state", state.select(*links.columns, "_moment", "z", "u1", "u2", "u3", "u4", "gap"))
+    state = grouped.where(~alone).withColumn("_share", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("target", "_moment")))
+    state = state.withColumn("_shares", F.sum(F.col("_share") * F.col("_share")).over(by_target))
+    state = state.withColumn("z", similarity).withColumns({f"u{k}": F.lit(0.0) for k in range(1, 5)}).withColumn("gap", F.lit(1.0))
+    kept = [*links.columns, "_moment", "_of_record", "_share", "_shares"]
+    state = table("state", state.select(*kept, "z", "u1", "u2", "u3", "u4", "gap"))
     while (state.agg(F.max("gap").alias("gap")).first()["gap"] or 0.0) > settled:
-        for _ in range(10):
-            state = _round(state, links.columns, rho, prior, evidence, exclusive, apart, together)
-        state = table("state", state)
+        for _ in range(2):  # a plan of ten rounds is large, and adaptive execution tells all of it again at every stage
+            for _ in range(5):
+                state = _round(state, kept, rho, prior, evidence, exclusive, apart, together)
+            state = table("state", state)
+            tidy(state.sparkSession)
     return free.unionByName(state.select(*links.columns, F.round("z", 6).alias("truth")))
 
 
 def _round(state: DataFrame, columns: Sequence[str], rho: float, prior: float, evidence: float, exclusive: float, apart: float, together: float) -> DataFrame:
-    """One round: each rule's copy x1 to x4, their average z, and the scaled differences u1 to u4. As SQL text, which is cheap to plan round by round."""
+    """One round: each rule's copy x1 to x4, their average z, and the scaled differences u1 to u4. As SQL text, which is cheap to plan round by round.
+
+    Two shuffles: rows laid out by target serve its moments too. What stays the same in every round comes with the
+    state: links of a record (_of_record), one by the links of a moment (_share), the sum of its squares over a target (_shares).
+    """
     kept = [f"`{c}`" for c in columns]
     by_record, by_target, by_moment = "OVER (PARTITION BY record)", "OVER (PARTITION BY target)", "OVER (PARTITION BY target, _moment)"
     v = [f"z - u{k} AS v{k}" for k in range(1, 5)]
-    s = state.selectExpr(*kept, "_moment", "z", "u1", "u2", "u3", "u4", *v)
+    s = state.selectExpr(*kept, "z", "u1", "u2", "u3", "u4", *v)
     # similarity and cost: the minimum of a squared hinge, a line and a square
     under, over = f"(({rho}D * v1 + {2 * evidence}D * similarity - {prior}D) / {rho + 2 * evidence}D)", f"(v1 - {prior / rho}D)"
     x1 = f"least(greatest(CASE WHEN {under} <= similarity THEN {under} ELSE greatest({over}, similarity) END, 0D), 1D) AS x1"
     # one target per record: hinge on the sum
-    s = s.selectExpr("*", x1, f"v2 - least({exclusive / rho}D, greatest((sum(v2) {by_record} - 1) / count(1) {by_record}, 0D)) AS x2")
-    # moments of one target: hinge on the sum of their means; links of one moment: each against their mean
-    s = s.selectExpr("*", f"1D / count(1) {by_moment} AS share", f"avg(v4) {by_moment} AS mean4")
-    s = s.selectExpr("*", f"v3 - share * least({apart / rho}D, greatest((sum(v3 * share) {by_target} - 1) / sum(share * share) {by_target}, 0D)) AS x3", f"mean4 + signum(v4 - mean4) * greatest(abs(v4 - mean4) - {together / rho}D, 0D) AS x4")
+    s = s.selectExpr("*", x1, f"v2 - least({exclusive / rho}D, greatest((sum(v2) {by_record} - 1) / _of_record, 0D)) AS x2")
+    # links of one moment: each against their mean; moments of one target: hinge on the sum of their means
+    s = s.repartition("target").selectExpr("*", f"avg(v4) {by_moment} AS mean4")
+    s = s.selectExpr("*", f"v3 - _share * least({apart / rho}D, greatest((sum(v3 * _share) {by_target} - 1) / _shares, 0D)) AS x3", f"mean4 + signum(v4 - mean4) * greatest(abs(v4 - mean4) - {together / rho}D, 0D) AS x4")
     s = s.selectExpr("*", "least(greatest((x1 + u1 + x2 + u2 + x3 + u3 + x4 + u4) / 4, 0D), 1D) AS z_new")
     gap = "greatest(abs(z_new - z), abs(x1 - z_new), abs(x2 - z_new), abs(x3 - z_new), abs(x4 - z_new)) AS gap"
-    return s.selectExpr(*kept, "_moment", "z_new AS z", *[f"u{k} + x{k} - z_new AS u{k}" for k in range(1, 5)], gap)
+    return s.selectExpr(*kept, "z_new AS z", *[f"u{k} + x{k} - z_new AS u{k}" for k in range(1, 5)], gap)
 
 
 def best_links(solved: DataFrame, least: float = 0.5, lowest: float = 0.3) -> DataFrame:

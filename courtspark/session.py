@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -98,6 +99,16 @@ class Rounds:
                 remove(SparkSession.active(), path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Free what ended rounds of a loop have left: broadcasts, shuffle files and map statuses go when the driver's garbage is collected.
+
+    A driver with heap to spare collects late, so they add up over the rounds; after a full collection it also gives
+    heap back.
+    """
+    gc.collect()  # Python's handles on the JVM's objects
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read back: later reads take only the columns they need."""
     return Rounds()("table", df)

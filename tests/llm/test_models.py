@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -12,6 +13,7 @@ from courtspark.llm import linkage as K
 from courtspark.llm.queries import QUERIES
 from courtspark.llm.skill import ranking, skills
 from courtspark.llm.sql import ORACLE
+from courtspark.session import stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -133,6 +135,17 @@ def test_rules_choose_as_a_whole(spark):
     assert K.best_links(K.solve(links.limit(0))).count() == 0
 
 
+def test_linkage_sends_no_exploded_forms_to_the_driver(spark):
+    """One name has a dozen forms of deletion: the planner knows the size before, and would broadcast what comes after."""
+    known = spark.createDataFrame([("T", f"p{k}", [f"first{k}"], [f"last{k}"]) for k in range(50)], "pool string, player_id string, firsts array<string>, lasts array<string>")
+    given = spark.createDataFrame([("T", f"f. last{k}", ["f", f"last{k}"]) for k in range(50)], "pool string, raw string, given array<string>")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(K._squeezed_candidates(stored(given), stored(known)))
+    state = spark.createDataFrame([("a", "m", 0, 1, 1.0, 1.0, 0.9, 0.9, 0.0, 0.0, 0.0, 0.0, 1.0)], "record string, target string, _moment int, _of_record int, _share double, _shares double, similarity double, z double, u1 double, u2 double, u3 double, u4 double, gap double")
+    one = K._round(state, ["record", "target", "similarity", "_moment", "_of_record", "_share", "_shares"], 1.0, 0.1, 1.0, 4.0, 1.0, 1.0)
+    assert len(re.findall(r"Exchange hashpartitioning", plan(one))) == 2
+
+
 def test_linkage_on_the_archive(spark):
     found = QUERIES["p4_found"](spark, SF)
     odds = spark.read.parquet(f"{SF}/aggregated_odds.parquet").select("event_id").distinct().count()
