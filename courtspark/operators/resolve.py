@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from courtspark.functions.normalize import name_key
 from courtspark.operators.keyed import latest_by_key, top_n_by_key
@@ -36,31 +36,120 @@ def alias_index(aliases: DataFrame, weight: DataFrame | None = None) -> DataFram
     return latest_by_key(keyed, ["tour", "alias_key"], [F.coalesce("n_matches", F.lit(0)).desc(), F.col("player_id").asc()]).drop("n_matches").join(sakes, ["tour", "alias_key"])
 
 
-@F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+def similarity(x: str, y: str) -> float:
     """0 to 1: best of the plain and the word-sorted match ratio."""
+    plain = SequenceMatcher(None, x, y).ratio()
+    return max(plain, 0.95 * SequenceMatcher(None, _sorted(x), _sorted(y)).ratio())
 
-    def one(x: str, y: str) -> float:
-        plain = SequenceMatcher(None, x, y).ratio()
-        return max(plain, 0.95 * SequenceMatcher(None, " ".join(sorted(x.split())), " ".join(sorted(y.split()))).ratio())
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+def _sorted(key: str) -> str:
+    return " ".join(sorted(key.split()))
 
 
-def fuzzy_lookup(names: DataFrame, index: DataFrame) -> DataFrame:
+class Bounds:
+    """What `similarity` of a text with each of `keys` can be at most, for all of them at once.
+
+    Matched blocks are a common subsequence, so their letters are at most the longest one's: bits of one word per key,
+    a step per letter (Hyyro). Before it, letters in common, in any order, rule most keys out.
+    """
+
+    def __init__(self, keys: Sequence[str]) -> None:
+        self.size = np.array([len(k) for k in keys], dtype=np.int64)
+        self.letters = {c: i for i, c in enumerate(sorted(set("".join(keys))), 1)}
+        self.plain, self.sorted = (self._codes(ks) for ks in (keys, [_sorted(k) for k in keys]))
+        self.counts = np.stack([self._count(k) for k in keys])
+
+    def _codes(self, keys: Sequence[str]) -> np.ndarray:
+        out = np.zeros((max(map(len, keys)), len(keys)), dtype=np.int32)
+        for j, k in enumerate(keys):
+            out[: len(k), j] = [self.letters[c] for c in k]
+        return out
+
+    @staticmethod
+    def _count(key: str) -> np.ndarray:
+        return np.bincount([ord(c) % 32 for c in key], minlength=32).astype(np.int16)
+
+    def _common(self, text: str, codes: np.ndarray) -> np.ndarray:
+        masks = np.zeros(len(self.letters) + 1, dtype=np.uint64)
+        for i, c in enumerate(text):
+            if c in self.letters:
+                masks[self.letters[c]] |= np.uint64(1 << i)
+        rest = np.full(codes.shape[1], (1 << 64) - 1, dtype=np.uint64)
+        for row in codes:
+            hit = rest & masks[row]
+            rest = (rest + hit) | (rest - hit)
+        return len(text) - np.bitwise_count(rest & np.uint64((1 << len(text)) - 1)).astype(np.int64)
+
+    def of(self, text: str, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, bounds) of the keys whose bound is `least` or more."""
+        total = self.size + len(text)
+        at = np.flatnonzero(2 * np.minimum(self.counts, self._count(text)).sum(axis=1) >= (least - 1e-6) * total)
+        if len(text) > 63 or not len(at):  # longer than a word of bits
+            return at, np.ones(len(at))
+        plain, mixed = self._common(text, self.plain[:, at]), self._common(_sorted(text), self.sorted[:, at])
+        most = np.maximum(2 * plain, 0.95 * 2 * mixed) / total[at]
+        kept = most >= least - 1e-6
+        return at[kept], most[kept]
+
+
+def _two_best(text: str, bounds: Bounds, keys: Sequence[str], ids: Sequence[str], least: float) -> list[tuple[str, float]]:
+    """The two entities with the highest score of at least `least`, ties by id: keys are scored by falling bound until none left can get in."""
+    at, most = bounds.of(text, least)
+    best: dict[str, float] = {}
+    for k in np.argsort(-most, kind="stable"):
+        top = sorted(best.items(), key=lambda e: (-e[1], e[0]))[:2]
+        if len(top) == 2 and most[k] < top[1][1] - 1e-6:
+            break
+        score = round(similarity(text, keys[at[k]]), 6)
+        if score >= least:
+            best = dict(top) | {ids[at[k]]: max(score, best.get(ids[at[k]], 0.0))}
+    return sorted(best.items(), key=lambda e: (-e[1], e[0]))[:2]
+
+
+#: Names and aliases of one block that meet in a task at once; larger blocks are held against each other in parts.
+BLOCK = 4000
+
+
+def _best_of_blocks(asked: DataFrame, index: DataFrame, least: float, block: int) -> DataFrame:
+    """(tour, key, player_id, score): the two best entities of every key in every block (tour, head), so among them its two best of all.
+
+    A block's keys and aliases are dealt into parts of about `block` rows by hash; each pair of parts is a group.
+    """
+    sides = {"q": asked.select("tour", "head", "key"), "a": index.select("tour", "head", "alias_key", "player_id")}
+    parts = {s: df.groupBy("tour", "head").agg(F.ceil(F.count(F.lit(1)) / block).alias(f"n_{s}")) for s, df in sides.items()}
+    parts = parts["q"].join(parts["a"], ["tour", "head"])
+    dealt = {}
+    for s, other, text in (("q", "a", "key"), ("a", "q", "alias_key")):
+        one = sides[s].join(parts, ["tour", "head"]).withColumn(f"_{s}", F.pmod(F.xxhash64(text), F.col(f"n_{s}")))
+        dealt[s] = one.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{other}") - 1)))
+    on = ["tour", "head", "_q", "_a"]
+
+    def meet(q: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(q) and len(a):
+            keys, ids = a["alias_key"].tolist(), a["player_id"].tolist()
+            bounds, tour = Bounds(keys), q["tour"].iloc[0]
+            for text in q["key"]:
+                rows += [(tour, text, i, score) for i, score in _two_best(text, bounds, keys, ids, least)]
+        return pd.DataFrame(rows, columns=["tour", "key", "player_id", "score"])
+
+    return dealt["q"].select(*on, "key").groupBy(*on).cogroup(dealt["a"].select(*on, "alias_key", "player_id").groupBy(*on)).applyInPandas(meet, "tour string, key string, player_id string, score double")
+
+
+def fuzzy_lookup(names: DataFrame, index: DataFrame, block: int = BLOCK) -> DataFrame:
     """(tour, raw, player_id, confidence, status, runner_up) for distinct raw names: exact key first, the rest by similarity.
 
-    Candidates share a word, or the word's first three letters, so a name is never held against the whole index. The
-    best alias counts per entity; an entity within GAP of the best makes the case one for review.
+    Candidates share a word, or the word's first three letters, so a name is never held against the whole index;
+    of those only the ones whose score can be among the two best are scored. The best alias counts per entity; an entity within GAP of the best makes the case one for review.
     """
     asked = names.select("tour", "raw").where("tour is not null and raw is not null").distinct().withColumn("key", name_key(F.col("raw")))
     exact = asked.join(index, (asked["tour"] == index["tour"]) & (asked["key"] == index["alias_key"]), "left").select(asked["tour"], "raw", "key", "player_id", "namesakes")
     done = exact.where("player_id is not null").select("tour", "raw", "player_id", F.lit(1.0).alias("confidence"), F.when(F.col("namesakes") > 1, "review").otherwise("auto").alias("status"), F.lit(0.0).alias("runner_up"))
     rest = exact.where("player_id is null").select("tour", "raw", "key")
     heads = lambda c: F.explode(F.array_distinct(F.transform(F.filter(F.split(c, " "), lambda w: F.length(w) >= 3), lambda w: F.substring(w, 1, 3))))
-    pairs = rest.withColumn("head", heads(F.col("key"))).join(index.select("tour", "alias_key", "player_id").withColumn("head", heads(F.col("alias_key"))), ["tour", "head"])
-    scored = pairs.select("tour", "raw", "key", "alias_key", "player_id").distinct().withColumn("score", F.round(similarity("key", "alias_key"), 6)).where(F.col("score") >= REVIEW - GAP)
-    best = scored.groupBy("tour", "raw", "player_id").agg(F.max("score").alias("score"))
+    blocks = _best_of_blocks(rest.select("tour", "key").distinct().withColumn("head", heads(F.col("key"))), index.select("tour", "alias_key", "player_id").distinct().withColumn("head", heads(F.col("alias_key"))), REVIEW - GAP, block)
+    scored = blocks.groupBy("tour", "key", "player_id").agg(F.max("score").alias("score"))
+    best = rest.join(scored, ["tour", "key"]).select("tour", "raw", "player_id", "score")
     two = top_n_by_key(best, ["tour", "raw"], [F.col("score").desc(), F.col("player_id").asc()], 2)
     pick = lambda c, k: F.max(F.when(F.col("rank_in_group") == k, F.col(c)))
     ranked = two.groupBy("tour", "raw").agg(pick("player_id", 1).alias("best_id"), pick("score", 1).alias("confidence"), F.coalesce(pick("score", 2), F.lit(0.0)).alias("runner_up"))

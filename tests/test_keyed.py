@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from courtspark.operators import keyed as K
@@ -48,6 +50,27 @@ def test_fuzzy_lookup_cases(spark):
     assert got["Zzz Qqq"]["status"] == "unknown" and got["Zzz Qqq"]["player_id"] is None
 
 
+def test_bounds_leave_out_nothing_and_score_little(spark, monkeypatch):
+    """Against scoring every pair; a name is scored with a few of the aliases that share its head, not with all."""
+    rng = random.Random(3)
+    name = lambda: " ".join("".join(rng.choice(["an", "be", "ri", "on", "ko", "st"]) for _ in range(rng.randrange(2, 5))) for _ in range(2))
+    keys = sorted({name() for _ in range(600)} | {"é" * 70 + " anna"})
+    ids = [f"p{rng.randrange(200)}" for _ in keys]
+    bounds, calls, full = R.Bounds(keys), [], R.similarity
+    monkeypatch.setattr(R, "similarity", lambda x, y: calls.append(1) or full(x, y))
+    for text in [name() for _ in range(60)] + ["anon" * 20, "", "xyz"]:
+        best = {}
+        for k, i in zip(keys, ids, strict=True):
+            if (s := round(full(text, k), 6)) >= 0.7:
+                best[i] = max(s, best.get(i, 0))
+        assert R._two_best(text, bounds, keys, ids, 0.7) == sorted(best.items(), key=lambda e: (-e[1], e[0]))[:2]
+    assert len(calls) < 0.1 * 63 * len(keys)
+    monkeypatch.undo()
+    index = spark.createDataFrame([("T", k, i, 1) for k, i in zip(keys, ids, strict=True)], "tour string, alias_key string, player_id string, namesakes int")
+    names = spark.createDataFrame([("T", name()) for _ in range(40)], "tour string, raw string")
+    assert rows(R.fuzzy_lookup(names, index, block=7)) == rows(R.fuzzy_lookup(names, index))
+
+
 def test_chains_close(spark):
     m = spark.createDataFrame([(f"p{k + 1:02d}", f"p{k:02d}") for k in range(30)] + [("x", "x"), (None, "a")], "stale string, canonical string")
     got = dict(map(tuple, R.close_chains(m).collect()))
