@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtspark.operators.ranks import distributed_rank
-from courtspark.session import Rounds
+from courtspark.session import Rounds, tidy
 
 #: Fixed values of the approximation 7.1.26 of erfc in Abramowitz and Stegun.
 _P = 0.3275911
@@ -30,8 +30,9 @@ def _hazard(t: str) -> str:
     return f"CASE WHEN {t} < -2.5D THEN -{t} + 1 / {deep} ELSE {pdf} / CASE WHEN {t} < 0 THEN {tail} ELSE 1 - {tail} END END"
 
 
-#: Rows of beliefs (one per item and context, under 100 bytes each) up to which they are broadcast; beyond, sides are joined by shuffles.
-BROADCAST_ROWS = 100_000
+#: Rows of beliefs (one per item and context, under 100 bytes each) up to which they are broadcast; beyond, sides are joined by shuffles, which the
+#: joins name: by the size of its compressed columns the planner would broadcast a table ten times as large.
+BROADCAST_ROWS = 20_000
 #: Weight of the second-order step (1: none) and of a variance step in logarithms, and the plain rounds before.
 MOMENTUM, SPREAD_STEP, PLAIN = 1.5, 1.5, 4
 
@@ -51,7 +52,7 @@ def skills(comparisons: DataFrame, winner: str, loser: str, pool: str, context:
 
     Nulls and self comparisons are left out. A round is one pre-aggregated sum by item and one look-up of both ends'
     beliefs: by broadcast where their counted rows are at most `broadcast_rows`, else by two joins. Each round is
-    written to the shared folder. A few variances per pool are all that reaches the driver.
+    written to the shared folder, and what it left with the driver is freed before the next. A few variances per pool are all that reaches the driver.
     """
     known = comparisons.where(" and ".join(f"`{c}` is not null" for c in (winner, loser, pool, context)) + f" and `{winner}` <> `{loser}`")
     known = known.where(F.col(context).isin(*contexts))
@@ -73,6 +74,7 @@ def skills(comparisons: DataFrame, winner: str, loser: str, pool: str, context:
             if k > 2 * PLAIN and moved > 1.5 * last:
                 ahead = 1 + (ahead - 1) / 2
             before, last, k = nodes, moved, k + 1
+            tidy(nodes.sparkSession)
 
 
 _STATE = ("wp", "wt", "lp", "lt")
@@ -106,7 +108,7 @@ def _spreads(nodes: DataFrame, before: DataFrame | None, spread: dict) -> tuple[
     if before is None:
         rows = nodes.withColumn("was", F.lit(math.inf))
     else:
-        rows = nodes.join(before.select("item", "pool", "context", F.col("mean").alias("was")), ["item", "pool", "context"])
+        rows = nodes.join(before.select("item", "pool", "context", F.col("mean").alias("was")).hint("merge"), ["item", "pool", "context"])
     found = rows.groupBy("pool").agg(F.avg(general).alias("g"), F.avg(F.when(F.col("p") > 1e-9, own)).alias("o"), F.max(F.abs(F.col("mean") - F.col("was"))).alias("moved"), F.count(F.lit(1)).alias("n")).collect()
 
     def on(old: float, new: float | None) -> float:
@@ -119,7 +121,7 @@ def _messages(edges: DataFrame, nodes: DataFrame, ahead: float, small: bool) ->
     joined = edges
     for s in "wl":
         side = nodes.selectExpr(f"item AS {s}", "pool", "context", f"pi AS {s}_pi", f"tau AS {s}_tau")
-        joined = joined.join(F.broadcast(side) if small else side, [s, "pool", "context"])
+        joined = joined.join(F.broadcast(side) if small else side.hint("merge"), [s, "pool", "context"])
     ids = ["w", "l", "pool", "context", "n", *_STATE, "old"]
     joined = joined.selectExpr(*ids, *[f"1 / ({s}_pi - {s}p) AS {s}_v" for s in "wl"], *[f"({s}_tau - {s}t) / ({s}_pi - {s}p) AS {s}_m" for s in "wl"])
     joined = joined.selectExpr("*", "1 + w_v + l_v AS c2", "(w_m - l_m) / sqrt(1 + w_v + l_v) AS gap")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from courtspark.llm import linkage as K
+from courtspark.llm import skill
 from courtspark.llm.queries import QUERIES
 from courtspark.llm.skill import ranking, skills
 from courtspark.llm.sql import ORACLE
@@ -60,6 +61,16 @@ def test_skills_recover_known_strengths(spark):
     assert all(a["lower"] >= b["lower"] for a, b in zip(ranked, ranked[1:], strict=False))
 
 
+def test_rounds_of_skills_send_no_table_by_mistake(spark, monkeypatch):
+    df = spark.createDataFrame([(f"i{k % 4}", f"i{(k * k + 1) % 4}", "p", "x") for k in range(60)], "w string, l string, pool string, c string")
+    plans, freed = [], []
+    made = skill._messages
+    monkeypatch.setattr(skill, "_messages", lambda *a: plans.append((out := made(*a))._jdf.queryExecution().executedPlan().toString()) or out)
+    monkeypatch.setattr(skill, "tidy", lambda s: freed.append(s))
+    assert skills(df, "w", "l", "pool", "c", ["x"], tolerance=0.2, broadcast_rows=0).count() == 4
+    assert len(plans) > 1 and not any("Broadcast" in p for p in plans) and len(freed) == len(plans) - 1
+
+
 def test_skills_of_nothing(spark):
     df = spark.createDataFrame([], "w string, l string, pool string, c string")
     assert skills(df, "w", "l", "pool", "c", ["x"]).count() == 0
